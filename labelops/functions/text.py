@@ -40,6 +40,15 @@ def word_count(c: str | Column) -> Column:
     return F.regexp_count(as_col(c), F.lit(NON_WS + "+"))
 
 
+def exceeds_words(c: str | Column, n: int) -> Column:
+    """True when the text has more than ``n`` words; stops scanning after word ``n + 1``.
+
+    Possessive quantifiers over the two disjoint classes keep the match linear, and the
+    scan is bounded by the position of word n + 1, not by the text length.
+    """
+    return as_col(c).rlike(rf"^{WS}*+(?:{NON_WS}++{WS}++){{{n}}}{NON_WS}")
+
+
 def preview(c: str | Column, n: int) -> Column:
     """First ``n`` characters plus ``...`` when longer (PRJ-11)."""
     c = as_col(c)

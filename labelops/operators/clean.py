@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelops.functions.text import is_blank, word_count
+from labelops.functions.text import exceeds_words, is_blank
 
 # Cleaning thresholds (characters, words).
 MIN_CHARS = 10
@@ -37,8 +37,8 @@ def min_chars(df: DataFrame, text: str = "text", n: int = MIN_CHARS) -> DataFram
 
 
 def word_limit(df: DataFrame, text: str = "text", n: int = MAX_WORDS) -> DataFrame:
-    """FLT-3: keep text with at most ``n`` whitespace-separated words."""
-    return df.filter(word_count(text) <= n)
+    """FLT-3: keep text with at most ``n`` whitespace-separated words (null text is dropped)."""
+    return df.filter(F.col(text).isNotNull() & ~exceeds_words(text, n))
 
 
 def drop_category(df: DataFrame, label: str, category: str) -> DataFrame:
@@ -46,22 +46,29 @@ def drop_category(df: DataFrame, label: str, category: str) -> DataFrame:
     return df.filter(~F.col(label).eqNullSafe(F.lit(category)))
 
 
+def first_rows(df: DataFrame, text: str = "text", row_id: str = "row_id") -> DataFrame:
+    """``row_id, _copies`` of the first row of every distinct text.
+
+    Grouped on the SHA-256 digest of the text, so the shuffle carries 32-byte keys and
+    fixed-width buffers (a hash aggregate with map-side combine) instead of whole texts.
+    """
+    return (df.groupBy(F.sha2(F.col(text), 256).alias("_h"))
+            .agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("_copies"))
+            .select(row_id, "_copies"))
+
+
 def dedup_first(df: DataFrame, text: str = "text", row_id: str = "row_id",
                 with_copies: bool = False) -> DataFrame:
     """DDP-1: one row per exact text, the one with the smallest ``row_id``.
 
     Null texts are equal to each other (one group).  ``with_copies`` adds ``_copies``,
-    the number of input rows sharing that text.
+    the number of input rows sharing that text.  The join back is on the unique row id
+    (no hot key); AQE broadcasts the first-row ids when they are small.
     """
-    others = [c for c in df.columns if c not in (text,)]
-    agg = [F.min_by(F.struct(*[F.col(c) for c in others]), F.col(row_id)).alias("_first")]
-    if with_copies:
-        agg.append(F.count(F.lit(1)).alias("_copies"))
-    out = df.groupBy(text).agg(*agg)
-    cols = [F.col(f"_first.{c}").alias(c) if c != text else F.col(text) for c in df.columns]
+    firsts = first_rows(df, text, row_id)
     if with_copies:
-        cols.append(F.col("_copies"))
-    return out.select(*cols)
+        return df.join(firsts, row_id, "inner")
+    return df.join(firsts.select(row_id), row_id, "left_semi")
 
 
 def classify(df: DataFrame, text: str = "text", row_id: str = "row_id",
@@ -77,7 +84,7 @@ def classify(df: DataFrame, text: str = "text", row_id: str = "row_id",
         "blank": is_blank(text),
         "duplicate": F.lit(False),  # decided by copy count, see funnel_counts
         "too_short": F.length(text) < min_n,
-        "too_long": word_count(text) > max_words,
+        "too_long": exceeds_words(text, max_words),
     }
     rule = F.lit(None).cast("string")
     for name in reversed([r for r in order if r != "duplicate"]):

@@ -901,3 +901,6 @@ def _raters(spark, sf):
         SQL_PERLABEL.format(cells="rcells").replace("model", "pair")))
 def q_bench_kappa(spark, sf):
     return AG.kappa_pairs(_raters(spark, sf), [("rater1", "rater2")])
+
+
+from labelops.plans import io_queries  # noqa: E402,F401  (registers the file and stream queries)
