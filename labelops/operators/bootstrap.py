@@ -47,8 +47,11 @@ def replicates(c: DataFrame, keys: Sequence[str] = ("model",), n_bootstrap: int
     n_cells = c.count()
     if n_cells > MAX_CELL_ROWS:
         raise ValueError(f"{n_cells} confusion cells: labels are not a small closed set")
-    # bounded (K² per group, checked above): shipped to the tasks inside the closure
+    # bounded (K² per group, checked above): shipped to the tasks inside the closure;
+    # sorted so the draws never depend on the order cells arrive in
     pdf = c.toPandas()
+    pdf = pdf.assign(_t=pdf["truth"].fillna("\x00"), _p=pdf["pred"].fillna("\x00")) \
+        .sort_values([*keys, "_t", "_p"], kind="mergesort").reset_index(drop=True)
     groups = []
     if keys:
         for g, part in sorted(pdf.groupby(keys, sort=True), key=lambda kv: str(kv[0])):

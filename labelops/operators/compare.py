@@ -13,6 +13,8 @@ import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,8 +164,6 @@ def mcnemar_chi2(counts: DataFrame, digits: int = 9, with_p: bool = False) -> Da
 
 
 def _chi2_sf1(x: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def sf(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(max(v, 0.0) / 2.0)))
