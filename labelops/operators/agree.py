@@ -107,6 +107,14 @@ def label_violations(df: DataFrame, row_id: str, label_cols: Sequence[str], vali
     return out
 
 
+def assert_valid(violations: DataFrame, what: str = "labels", show: int = 20) -> None:
+    """VAL-1/VAL-2 guard: raise with the first offenders and the count (one bounded action)."""
+    first = violations.limit(show).collect()
+    if first:
+        n = violations.count()
+        raise ValueError(f"{n} invalid {what}; first: {[tuple(r) for r in first]}")
+
+
 def alignment_check(reference: DataFrame, other: DataFrame, row_id: str = "row_id", text: str = "text",
                     keys: Sequence[str] = ()) -> DataFrame:
     """VAL-3: rows of ``other`` (per ``keys`` group) aligned to ``reference`` on the row id.

@@ -134,6 +134,11 @@ def confusion_wide(c: DataFrame, labels: Sequence[str], keys: Sequence[str] = ()
     return long.groupBy(*keys, "truth").pivot("pred", list(labels)).agg(F.sum(N).cast("bigint"))
 
 
+def mistakes(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """FLT-11: rows where the prediction differs from the truth (null-safe)."""
+    return df.filter(~F.col(truth).eqNullSafe(F.col(pred)))
+
+
 def confused_pairs(c: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """AGG-10 / FLT-11: mistakes per (truth, pred), most frequent first (ties: truth, pred)."""
     wrong = c.filter(~F.coalesce(F.col("truth") == F.col("pred"), F.lit(False)))

@@ -60,6 +60,14 @@ def _re_escape(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?{}[]\|()" else ch for ch in s)
 
 
+def require_inputs(models: Sequence[str], n_valid: int | None = None, min_rows: int = 10) -> None:
+    """VAL-5: at least two models to compare and, when given, enough valid rows."""
+    if len(models) < 2:
+        raise ValueError(f"need at least 2 models for a comparison, got {list(models)}")
+    if n_valid is not None and n_valid < min_rows:
+        raise ValueError(f"only {n_valid} valid rows; at least {min_rows} needed")
+
+
 def to_wide(long: DataFrame, models: Sequence[str], row_id: str = "row_id", truth: str = "truth",
             model: str = "model", pred: str = "predicted") -> DataFrame:
     """JN-1: one row per row id with one column per model (shuffle on the row id)."""
@@ -84,6 +92,7 @@ def mcnemar_counts(wide: DataFrame, models: Sequence[str], valid: Sequence[str],
                    truth: str = "truth", keys: Sequence[str] = ()) -> DataFrame:
     """AGG-18: per model pair, over rows valid for truth and both models:
     ``both_correct, model1_only, model2_only, both_wrong, n_valid``."""
+    require_inputs(models)
     t = norm_label(truth)
     exprs = []
     pairs = list(combinations(models, 2))

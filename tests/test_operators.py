@@ -233,3 +233,18 @@ def test_file_names(spark):
     st = {r.expected: r.status for r in CP.strict_file_matches(
         up, ["d1_annotator1.csv", "d1_ground_truth.csv", "d1_annotator2.csv"]).collect()}
     assert st == {"d1_annotator1.csv": "ok", "d1_ground_truth.csv": "ambiguous", "d1_annotator2.csv": "missing"}
+
+
+def test_guards(spark):
+    from labelops.operators import agree as AG
+    with pytest.raises(ValueError):
+        CP.require_inputs(["only"])
+    with pytest.raises(ValueError):
+        CP.require_inputs(["a", "b"], n_valid=3)
+    df = spark.createDataFrame([(1, " "), (2, "good"), (3, "great")], "row_id int, a string")
+    v = AG.label_violations(df, "row_id", ["a"], ["good", "poor"])
+    assert {r.row_id: r.check for r in v.collect()} == {1: "blank", 3: "invalid"}
+    with pytest.raises(ValueError):
+        AG.assert_valid(v)
+    m = C.mistakes(spark.createDataFrame([("a", "a"), ("a", "b"), (None, None)], "t string, p string"), "t", "p")
+    assert m.count() == 1
