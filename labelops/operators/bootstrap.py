@@ -25,18 +25,18 @@ MIN_ROWS = 10
 MAX_CELL_ROWS = 1_000_000  # cells are K² per group; refuse anything that is not small
 
 
-def _metric_values(truth: np.ndarray, pred: np.ndarray, counts: np.ndarray) -> dict[str, float]:
+def _metric_values(t_idx: np.ndarray, p_idx: np.ndarray, hit: np.ndarray, n_labels: int,
+                   counts: np.ndarray) -> dict[str, float]:
+    """Accuracy and macro F1 (over labels present in the resample, undefined F1 = 0) of one draw."""
     n = counts.sum()
-    hit = truth == pred
-    acc = counts[hit].sum() / n if n else 0.0
-    labels = np.unique(np.concatenate([truth[counts > 0], pred[counts > 0]]))
-    f1s = []
-    for lab in labels:
-        tp = counts[(truth == lab) & hit].sum()
-        sup = counts[truth == lab].sum()
-        prd = counts[pred == lab].sum()
-        f1s.append(2 * tp / (sup + prd) if sup + prd else 0.0)
-    return {"accuracy": float(acc), "f1_macro": float(np.mean(f1s)) if f1s else 0.0}
+    tp = np.bincount(t_idx, weights=counts * hit, minlength=n_labels)
+    support = np.bincount(t_idx, weights=counts, minlength=n_labels)
+    predicted = np.bincount(p_idx, weights=counts, minlength=n_labels)
+    denom = support + predicted
+    present = denom > 0
+    f1 = np.divide(2 * tp, denom, out=np.zeros_like(tp), where=present)
+    return {"accuracy": float(tp.sum() / n) if n else 0.0,
+            "f1_macro": float(f1[present].mean()) if present.any() else 0.0}
 
 
 def replicates(c: DataFrame, keys: Sequence[str] = ("model",), n_bootstrap: int = N_BOOTSTRAP,
@@ -44,42 +44,42 @@ def replicates(c: DataFrame, keys: Sequence[str] = ("model",), n_bootstrap: int
     """``keys…, replicate, metric, value`` for every replicate (B × groups × 2 rows)."""
     spark = c.sparkSession
     keys = list(keys)
-    n_cells = c.count()
-    if n_cells > MAX_CELL_ROWS:
-        raise ValueError(f"{n_cells} confusion cells: labels are not a small closed set")
-    # bounded (K² per group, checked above): shipped to the tasks inside the closure;
-    # sorted so the draws never depend on the order cells arrive in
-    pdf = c.toPandas()
+    # bounded (K² per group): refuse more than MAX_CELL_ROWS, then ship to the tasks in the
+    # closure, sorted so the draws never depend on the order the cells arrive in
+    pdf = c.limit(MAX_CELL_ROWS + 1).toPandas()
+    if len(pdf) > MAX_CELL_ROWS:
+        raise ValueError(f"more than {MAX_CELL_ROWS} confusion cells: labels are not a small closed set")
     pdf = pdf.assign(_t=pdf["truth"].fillna("\x00"), _p=pdf["pred"].fillna("\x00")) \
         .sort_values([*keys, "_t", "_p"], kind="mergesort").reset_index(drop=True)
-    groups = []
-    if keys:
-        for g, part in sorted(pdf.groupby(keys, sort=True), key=lambda kv: str(kv[0])):
-            g = g if isinstance(g, tuple) else (g,)
-            groups.append((g, part))
-    else:
-        groups.append(((), pdf))
+    groups = [(g if isinstance(g, tuple) else (g,), part) for g, part in pdf.groupby(keys, sort=True)] \
+        if keys else [((), pdf)]
     prepared = []
     for g, part in groups:
         counts = part["n"].to_numpy(dtype=np.int64)
         total = int(counts.sum())
         if total < min_rows:
             continue
-        prepared.append((g, part["truth"].astype(object).to_numpy(), part["pred"].astype(object).to_numpy(),
-                         counts, total))
+        t, p = part["truth"].to_numpy(dtype=object), part["pred"].to_numpy(dtype=object)
+        labels = sorted({x for x in np.concatenate([t, p]) if x is not None and x == x})
+        pos = {x: i for i, x in enumerate(labels)}
+        none = len(labels)  # null labels get their own slot, never counted as a label
+        t_idx = np.array([pos.get(x, none) for x in t], dtype=np.int64)
+        p_idx = np.array([pos.get(x, none) for x in p], dtype=np.int64)
+        hit = (t_idx == p_idx) & (t_idx < none)
+        prepared.append((g, t_idx, p_idx, hit, none + 1, counts, total))
     key_schema = ", ".join(f"`{k}` string" for k in keys)
-    schema = (key_schema + ", " if keys else "") + "replicate long, metric string, value double"
+    schema = (key_schema + ", " if keys else "") + "valid_samples long, replicate long, metric string, value double"
 
     def run(batches):
         for b in batches:
             out = []
             for r in b["id"].tolist():
                 rng = np.random.default_rng([seed, int(r)])
-                for g, t, p, counts, total in prepared:
+                for g, t_idx, p_idx, hit, k, counts, total in prepared:
                     draw = rng.multinomial(total, counts / total)
-                    for m, v in _metric_values(t, p, draw).items():
-                        out.append((*[str(x) for x in g], int(r), m, v))
-            yield pd.DataFrame(out, columns=[*keys, "replicate", "metric", "value"])
+                    for m, v in _metric_values(t_idx, p_idx, hit, k, draw).items():
+                        out.append((*[str(x) for x in g], total, int(r), m, v))
+            yield pd.DataFrame(out, columns=[*keys, "valid_samples", "replicate", "metric", "value"])
 
     parts = max(1, min(n_bootstrap, spark.sparkContext.defaultParallelism))
     return spark.range(n_bootstrap, numPartitions=parts).mapInPandas(run, schema)
@@ -96,14 +96,11 @@ def bootstrap(c: DataFrame, keys: Sequence[str] = ("model",), n_bootstrap: int =
     reps = replicates(c, keys, n_bootstrap, seed, min_rows).filter(F.col("metric").isin(list(metrics)))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     summ = reps.groupBy(*keys, "metric").agg(
+        F.max("valid_samples").alias("valid_samples"),
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.percentile(F.col("value"), F.array(F.lit(lo), F.lit(hi))).alias("_ci"),
         F.count(F.lit(1)).alias("replicates"))
-    sizes = c.groupBy(*keys).agg(F.sum("n").cast("bigint").alias("valid_samples"))
-    if keys:
-        sizes = sizes.withColumns({k: F.col(k).cast("string") for k in keys})
-        summ = summ.join(sizes, keys, "left")
-    return summ.select(*keys, "metric", *(["valid_samples"] if keys else []),
+    return summ.select(*keys, "metric", "valid_samples",
                        F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"),
                        F.round(F.col("_ci")[0], digits).alias("ci_lower"),
                        F.round(F.col("_ci")[1], digits).alias("ci_upper"), "replicates")

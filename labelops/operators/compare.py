@@ -93,16 +93,25 @@ def mcnemar_counts(wide: DataFrame, models: Sequence[str], valid: Sequence[str],
     """AGG-18: per model pair, over rows valid for truth and both models:
     ``both_correct, model1_only, model2_only, both_wrong, n_valid``."""
     require_inputs(models)
-    t = norm_label(truth)
+    vals = list(valid)
+    # normalise every label column once; the aggregate then only combines booleans
+    flags = wide.select(*keys, norm_label(truth).alias("_t"), *[norm_label(m).alias(f"_m{i}")
+                                                               for i, m in enumerate(models)])
+    flags = flags.select(*keys, F.coalesce(F.col("_t").isin(vals), F.lit(False)).alias("_vt"), *[
+        x for i in range(len(models)) for x in (
+            F.coalesce(F.col(f"_m{i}").isin(vals), F.lit(False)).alias(f"_v{i}"),
+            F.coalesce(F.col(f"_m{i}") == F.col("_t"), F.lit(False)).alias(f"_c{i}"))])
+    idx = {m: i for i, m in enumerate(models)}
     exprs = []
     pairs = list(combinations(models, 2))
     for i, (m1, m2) in enumerate(pairs):
-        ok = valid_for_all(wide, [truth, m1, m2], valid)
-        c1, c2 = norm_label(m1) == t, norm_label(m2) == t
+        x, y = idx[m1], idx[m2]
+        ok = F.col("_vt") & F.col(f"_v{x}") & F.col(f"_v{y}")
+        c1, c2 = F.col(f"_c{x}"), F.col(f"_c{y}")
         exprs += [F.count_if(ok).alias(f"n{i}"), F.count_if(ok & c1 & c2).alias(f"a{i}"),
                   F.count_if(ok & c1 & ~c2).alias(f"b{i}"), F.count_if(ok & ~c1 & c2).alias(f"c{i}"),
                   F.count_if(ok & ~c1 & ~c2).alias(f"d{i}")]
-    agg = wide.groupBy(*keys).agg(*exprs)
+    agg = flags.groupBy(*keys).agg(*exprs)
     rows = F.array(*[F.struct(F.lit(m1).alias("model1"), F.lit(m2).alias("model2"),
                               F.col(f"a{i}").alias("both_correct"), F.col(f"b{i}").alias("model1_only"),
                               F.col(f"c{i}").alias("model2_only"), F.col(f"d{i}").alias("both_wrong"),
