@@ -32,8 +32,12 @@ def rank_key(row_id: str, seed: int | str = SEED) -> Column:
 
 
 def ranked_sample(df: DataFrame, n: int, row_id: str = "row_id", by: Sequence[str] = (),
-                  seed: int | str = SEED, ord_col: str = "ord") -> DataFrame:
-    """Up to ``n`` rows per ``by`` group with the smallest keys, with ``ord`` 1..n per group."""
+                  seed: int | str = SEED, ord_col: str = "ord", bounded_groups: bool | None = None) -> DataFrame:
+    """Up to ``n`` rows per ``by`` group with the smallest keys, with ``ord`` 1..n per group.
+
+    The bucket histogram is broadcast only when the groups are known to be few (no ``by``, or
+    ``bounded_groups=True`` for a listed class set); otherwise the join is left to AQE.
+    """
     by = list(by)
     key = rank_key(row_id, seed)
     keyed = (df.withColumn("_k", key)
@@ -44,8 +48,9 @@ def ranked_sample(df: DataFrame, n: int, row_id: str = "row_id", by: Sequence[st
             .withColumn("_before", F.col("_cum") - F.col("_cnt"))
             .filter(F.col("_before") < F.lit(n))
             .select(*by, "_b", "_before"))
-    # bounded: at most (#groups x 65 536) rows, and the groups are a listed class set
-    picked = keyed.join(F.broadcast(hist), [*by, "_b"], "inner")
+    bounded = (not by) if bounded_groups is None else bounded_groups
+    # bounded: at most (#groups x 65 536) rows when the groups are a listed class set
+    picked = keyed.join(F.broadcast(hist) if bounded else hist, [*by, "_b"], "inner")
     wr = Window.partitionBy(*by, "_b").orderBy("_k", row_id)
     ranked = picked.withColumn(ord_col, (F.col("_before") + F.row_number().over(wr)).cast("int"))
     return ranked.filter(F.col(ord_col) <= n).drop("_k", "_b", "_before")
@@ -72,7 +77,7 @@ def sample_cap(df: DataFrame, n: int, row_id: str = "row_id", seed: int | str =
 def sample_balanced(df: DataFrame, label: str, classes: Sequence[str], n: int,
                     row_id: str = "row_id", seed: int | str = SEED) -> DataFrame:
     """SMP-2 (+FLT-10): ``n`` rows per listed class; a short class gives all its rows."""
-    return ranked_sample(select_classes(df, label, classes), n, row_id, [label], seed)
+    return ranked_sample(select_classes(df, label, classes), n, row_id, [label], seed, bounded_groups=True)
 
 
 def sample_shortfall(df: DataFrame, label: str, classes: Sequence[str], n: int) -> DataFrame:
