@@ -904,3 +904,47 @@ def q_bench_kappa(spark, sf):
 
 
 from labelops.plans import io_queries  # noqa: E402,F401  (registers the file and stream queries)
+
+
+# ================================================================ variants: fixed class order, greedy extraction, strict names
+
+FIXED_CLASSES = ["en", "fr", "de", "es", "it"]
+
+
+@query("label_distribution_fixed", f"""SELECT CAST(c.ord AS INTEGER) AS ord, c.label, coalesce(d.n, 0) AS n,
+  round(coalesce(coalesce(d.n, 0) * 100.0 / nullif((SELECT count(*) FROM cleaned), 0), 0), 4)::DOUBLE AS pct
+  FROM (SELECT unnest({X.s_list(FIXED_CLASSES)}) AS label, unnest(range(1, {len(FIXED_CLASSES) + 1})) AS ord) c
+  LEFT JOIN (SELECT lang, count(*) AS n FROM cleaned GROUP BY lang) d ON d.lang = c.label""", (D, CLN))
+def q_label_distribution_fixed(spark, sf):
+    return P.label_distribution(X.cleaned_docs(spark, sf), "lang", FIXED_CLASSES)
+
+
+SQL_PARSED_EXTRACT = SQL_PARSED.replace(
+    "FROM responses)", "FROM (SELECT batch_no, attempt, regexp_extract(body, '(\\{[\\s\\S]*\\})', 1) AS body "
+    "FROM responses))", 1)
+
+
+@query("parse_responses_extract", "SELECT batch_no, attempt, usable, key, label FROM parsed",
+       (CORP, LNUM, X.SQL_RESPONSES, SQL_PARSED_EXTRACT))
+def q_parse_responses_extract(spark, sf):
+    return B.parse_responses(_responses(spark, sf), LANGS, extract=True)
+
+
+EXPECTED_FILES = ["Claude_sentiment_results.csv", "DeepSeek_sentiment_results.csv",
+                  "Gemini_sentiment_results.csv", "GPT4o_sentiment_results.csv", "Mistral_sentiment_results.csv"]
+
+
+def _sql_strict(expected: str) -> str:
+    stem = expected[:-4].replace(".", "\\.")
+    return (f"SELECT '{expected}' AS expected, count(*) FILTER (WHERE regexp_matches(source_file, "
+            f"'^{stem}(\\s*\\(\\d+\\))?\\.csv$')) AS n_matches, min(source_file) FILTER (WHERE regexp_matches("
+            f"source_file, '^{stem}(\\s*\\(\\d+\\))?\\.csv$')) AS matched FROM (SELECT DISTINCT source_file "
+            "FROM model_files)")
+
+
+@query("file_matches", "SELECT *, CASE WHEN n_matches = 1 THEN 'ok' WHEN n_matches = 0 THEN 'missing' "
+       "ELSE 'ambiguous' END AS status FROM (" + " UNION ALL ".join(_sql_strict(e) for e in EXPECTED_FILES) + ")",
+       (PW, MF))
+def q_file_matches(spark, sf):
+    names = X.model_files(spark, sf).select(F.col("source_file").alias("file_name")).distinct()
+    return CP.strict_file_matches(names, EXPECTED_FILES)
