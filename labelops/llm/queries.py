@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding
+from . import decontaminate, quality, sharding, simhash
 from .common import table
 
 
+def op1_simhash(spark, d):
+    return simhash.near_dups(table(spark, d, "documents")).drop("fp")
+
+
+def op3_quality(spark, d):
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op8_decontaminate(spark, d):
     out = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return out.drop("items")
@@ -16,6 +24,8 @@ def op9_sharding(spark, d):
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
 }
