@@ -56,7 +56,9 @@ def repeat_words(triples):
 
 def log_ratios(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS, alpha: float = 1.0) -> list[float]:
     """Log ratio target : raw of each bucket. docs (doc_id, text) whole; good (doc_id) the trusted ids."""
-    flagged = docs.join(good.select("doc_id", F.lit(True).alias("good")), "doc_id", "left")
+    # one join strategy at every size: labels grow with the corpus, so they are never broadcast
+    marks = good.select("doc_id", F.lit(True).alias("good")).hint("merge")
+    flagged = docs.join(marks, "doc_id", "left")
     words = flagged.select("good", space_words(F.col("text")).alias("w"))
     words = words.select("good", "w", _pairs(F.col("w")).alias("p"))
     counts = (words.select("good", F.explode(_buckets(F.col("w"), F.col("p"), buckets)).alias("bucket"))
