@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, sharding, simhash
+from pyspark.sql import functions as F
+
+from . import decontaminate, langid, packing, quality, sharding, simhash, tokencount, toxicity
 from .common import table
 
 
@@ -14,6 +16,20 @@ def op3_quality(spark, d):
     return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op4_toxicity(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    out = toxicity.toxicity(docs, labels.filter(~toxicity.held_out()))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op5_tokencount(spark, d):
+    return tokencount.token_counts(table(spark, d, "documents"))
+
+
+def op7_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
 def op8_decontaminate(spark, d):
     out = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return out.drop("items")
@@ -23,11 +39,21 @@ def op9_sharding(spark, d):
     return sharding.shard_rows(table(spark, d, "documents"))
 
 
+def op10_langid(spark, d):
+    docs = table(spark, d, "documents")
+    out = langid.identify(docs, docs.filter(~langid.held_out()))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
+    "op5_tokencount": op5_tokencount,
+    "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
+    "op10_langid": op10_langid,
 }
 
 ORACLE: dict[str, str] = {}
