@@ -24,7 +24,7 @@ from .common import space_words, text_or_empty
 
 BUCKETS = 1 << 16
 #: least mean log ratio of a kept document
-THRESHOLD = -0.5
+THRESHOLD = -0.07
 MIN_WORDS = 50
 
 
