@@ -51,10 +51,12 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   window: int = WINDOW, share: int = 20, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items; one row per input row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    """row (a struct of all columns of docs), n_words, n_hit, n_items, items_sha256, contaminated,
+    items; one row per input row."""
+    base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"))
+    text = text_or_empty(F.col(f"row.`{text_col}`"))
     windows = item_windows(items, window=window).checkpoint()
-    exploded = base.select("doc_id", F.posexplode(bench_words(F.col("text"))).alias("pos", "word"))
+    exploded = base.select("doc_id", F.posexplode(bench_words(text)).alias("pos", "word"))
 
     # 1. rarity of the benchmark's words, over all documents
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
@@ -79,19 +81,19 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # 4. exact check inside the document's own words
     joined = base.join(candidates.withColumnRenamed("doc_id", "cand_id"),
                        F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
-    joined = joined.select("doc_id", bench_words(F.col("text")).alias("w"), "cands")
+    joined = joined.select("row", bench_words(text).alias("w"), "cands")
     found = F.filter("cands", lambda c: (c["start"] + c["len"] <= F.size("w"))
                      & (F.array_join(F.slice(F.col("w"), c["start"] + 1, c["len"]), " ") == c["win"]))
-    hits = joined.select("doc_id", F.size("w").cast("long").alias("n_words"),
+    hits = joined.select("row", F.size("w").cast("long").alias("n_words"),
                          F.when(F.col("cands").isNotNull(), found).alias("hit"))
     covered = F.array_distinct(F.flatten(F.transform(
         "hit", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda c: c["items"]))))
     none = F.array().cast("array<string>")
-    out = hits.select("doc_id", "n_words",
+    out = hits.select("row", "n_words",
                       F.coalesce(F.size(F.when(F.col("hit").isNotNull(), covered)), F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce(F.when(F.col("hit").isNotNull(), names), none).alias("items"))
-    return out.select("doc_id", "n_words", F.greatest("n_hit", F.lit(0)).alias("n_hit"),
+    return out.select("row", "n_words", F.greatest("n_hit", F.lit(0)).alias("n_hit"),
                       F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                       ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),

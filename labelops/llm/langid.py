@@ -204,7 +204,7 @@ class Scorer:
 
 def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", per_lang: int = PER_LANG, vocab_path: str | None = None) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs, learned from the rows of training."""
+    """row (a struct of all columns of docs), lang_pred, score; learned from the rows of training."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = training.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
@@ -214,13 +214,14 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     def run(batches):
         scorer = Scorer(*model.value)
         for b in batches:
-            got = scorer.score(b.column(1).to_pylist())
+            got = scorer.score(b.column(0).field(at).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()),
                                               pa.array([g[1] for g in got], pa.float64())],
-                                             names=["doc_id", "lang_pred", "score"])
+                                             names=["row", "lang_pred", "score"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    base, at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
+    kind = base.schema["row"].dataType.simpleString()
+    return base.mapInArrow(run, f"row {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, quality, sharding, simhash, tokencount, toxicity
+import corpus_pipeline
+
+from . import (decontaminate, langid, linededup, packing, quality, sharding, simhash, suffixdedup, tokencount,
+               toxicity)
 from .common import table
 
 
@@ -12,6 +15,10 @@ def op1_simhash(spark, d):
     return simhash.near_dups(table(spark, d, "documents")).drop("fp")
 
 
+def op2_linededup(spark, d):
+    return linededup.line_dedup(table(spark, d, "documents")).drop("rid")
+
+
 def op3_quality(spark, d):
     return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -26,13 +33,18 @@ def op5_tokencount(spark, d):
     return tokencount.token_counts(table(spark, d, "documents"))
 
 
+def op6_suffixdedup(spark, d):
+    return suffixdedup.substring_dedup(table(spark, d, "documents"), keep_text=False)
+
+
 def op7_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
 def op8_decontaminate(spark, d):
-    out = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
-    return out.drop("items")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = decontaminate.contamination(docs, table(spark, d, "benchmark"))
+    return out.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_sharding(spark, d):
@@ -41,19 +53,22 @@ def op9_sharding(spark, d):
 
 def op10_langid(spark, d):
     docs = table(spark, d, "documents")
-    out = langid.identify(docs, docs.filter(~langid.held_out()))
-    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    out = langid.identify(docs.select("doc_id", "text"), docs.filter(~langid.held_out()))
+    return out.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_linededup": op2_linededup,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_tokencount": op5_tokencount,
+    "op6_suffixdedup": op6_suffixdedup,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
