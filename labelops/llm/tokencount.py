@@ -8,7 +8,8 @@ taken off) and the number of pieces taken off. One pass over the word adds these
 piece is ever built and no byte is read twice.
 
 Words are runs of characters other than ASCII white space, in lower case. Every byte is a piece in
-both forms, so nothing is unknown.
+both forms, so nothing is unknown. Where the longest match takes the whole rest in its inner form,
+the end symbol is left alone; it counts nothing.
 
 Defined results: null, empty and blank text has no words and no tokens; words of any length take
 linear time; repeated rows each come back; other columns are ignored.
@@ -58,7 +59,7 @@ class Automaton:
     def __init__(self, vocabulary):
         self.next: list[dict[int, int]] = [{}]
         whole = [False]
-        for p in vocabulary:
+        for p in (*vocabulary, (END,)):
             at = 0
             for c in p:
                 to = self.next[at].get(c)
@@ -74,7 +75,7 @@ class Automaton:
             for c, to in self.next[v].items():
                 queue.append(to)
                 if whole[to]:
-                    self.fail[to], self.pops[to] = 0, 1
+                    self.fail[to], self.pops[to] = 0, int((v, c) != (0, END))
                     continue
                 at, popped = self.fail[v], self.pops[v]
                 while at >= 0 and c not in self.next[at]:
@@ -91,9 +92,7 @@ class Automaton:
                 if at < 0:
                     return -1
             at = self.next[at][c]
-        while at > 0:
-            n, at = n + self.pops[at], self.fail[at]
-        return n if at == 0 else -1
+        return n + self.pops[at]  # only whole pieces end in the end symbol
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None) -> DataFrame:
