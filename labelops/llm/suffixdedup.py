@@ -16,7 +16,9 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
    are searched in each other by binary search and the smallest ids are combined.
 4. Removed windows go back to their document and are united into spans.
 
-Copies inside one Arrow slice send their text once. A key with more than ``HOT`` runs (a passage
+A document whose whole text a smaller id has (found by a map-side combined aggregate over text
+hashes) loses all of it and sends no text to step 2; the smallest id of the text stands for it.
+Equal run texts inside one Arrow slice are sent once. A key with more than ``HOT`` runs (a passage
 shared by much of the corpus has few such keys, but many different surroundings) is not gathered:
 each of its windows is routed by its own hash, and equal windows of a slice are sent once, so the
 load spreads whatever the passage. Bucket numbers follow from the corpus size.
@@ -427,9 +429,10 @@ def finish(keep_text: bool):
         for b in batches:
             ids, texts, lists = b.column(0).to_pylist(), _bytes(b.column(1)), b.column(2).to_pylist()
             out = []
-            for doc, text, groups in zip(ids, texts, lists):
+            for doc, text, groups, whole in zip(ids, texts, lists, b.column(3).to_pylist()):
+                groups = groups if not whole else None
                 both = [np.frombuffer(b"".join(g[n] for g in groups or []), np.uint32).tolist() for n in ("from", "to")]
-                spans = unite(zip(*both))
+                spans = unite(zip(*both)) if not whole or len(text) < SPAN else [(0, len(text))]
                 edges = [0, *(x for s in spans for x in s), len(text)]
                 kept = b"".join(text[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2))
                 out.append((doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
@@ -449,11 +452,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.xxhash64(F.coalesce(doc, F.lit(NO_ID)), text).alias("rid"), doc.alias("doc_id"), text.alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
+    # rows whose whole text a smaller id has; the hash is 128 bits of SHA-256
+    digests = base.select("rid", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.substring(F.sha2("text", 256), 1, 32).alias("text"))
+    least = digests.groupBy("text").agg(F.min("id").alias("least"))
+    copies = digests.join(least, "text").filter("id > least").select("rid").distinct()
     shared = (base.mapInArrow(entries(buckets), ENTRY).groupBy("bucket").applyInArrow(shared_runs, SHARED)
+              .join(copies, "rid", "left_anti")
               .groupBy("rid").agg(F.collect_list(F.struct("bucket", "keys", "starts", "sizes", "hot")).alias("runs")))
     gone = (base.join(shared, "rid").select("rid", "doc_id", "text", "runs")
             .mapInArrow(piece_texts(buckets), PIECE).groupBy("bucket")
-            .applyInArrow(removed_windows, "rid long, from binary, to binary")
-            .groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
-    out = base.join(gone, "rid", "left").select("doc_id", "text", "spans").mapInArrow(finish(keep_text), RESULT)
+            .applyInArrow(removed_windows, "rid long, from binary, to binary").select("rid", F.struct("from", "to").alias("span")))
+    gone = (gone.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+            .groupBy("rid").agg(F.collect_list("span").alias("spans"), F.max("whole").alias("whole")))
+    out = base.join(gone, "rid", "left").select("doc_id", "text", "spans", "whole").mapInArrow(finish(keep_text), RESULT)
     return out if keep_text else out.drop("kept")

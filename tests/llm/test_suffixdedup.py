@@ -112,8 +112,8 @@ def test_against_brute_force(spark, monkeypatch, shard, hot, slice_):
     for t in grouped(D.piece_texts(buckets)([second]), D.removed_windows):
         for r in t.to_pylist():
             spans.setdefault(r["rid"], []).append(r)
-    last = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([spans.get(k) for k in rid])],
-                                      names=["doc_id", "text", "spans"])
+    last = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([spans.get(k) for k in rid]),
+                                       pa.array([None] * len(rid), pa.bool_())], names=["doc_id", "text", "spans", "whole"])
     out = pa.Table.from_batches(list(D.finish(False)([last]))).to_pylist()
     assert Counter(tuple(r[c] for c in COLS) for r in out) == brute(rows)
 
