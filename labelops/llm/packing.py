@@ -32,7 +32,7 @@ from .common import blocks_for
 
 CAPACITY = 4096
 END_ID = 2
-CACHE = 600_000
+CACHE = 1_000_000
 
 
 class WordTokenizer:
@@ -61,6 +61,16 @@ class WordTokenizer:
         return [b"".join([seen[w] for w in ws]) for ws in lists]
 
 
+#: one tokenizer and cache per vocabulary and Python worker; they outlive a task where workers are reused
+_TOKENIZERS: dict[str | None, WordTokenizer] = {}
+
+
+def tokenizer(path: str | None) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     """Piece lengths of a document of n ids: whole sequences, then the binary digits of the rest."""
     whole, rest = divmod(n, capacity)
@@ -75,8 +85,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def run(batches):
         import os
 
+        from labelops.llm import packing
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = WordTokenizer(vocab_path)
+        tok = packing.tokenizer(vocab_path)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k in range(0, len(ids), 256):
