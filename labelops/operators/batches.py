@@ -51,8 +51,10 @@ PROMPT_FOOTER = (
 NUMBER_WORDS = {2: "two", 3: "three", 4: "four", 5: "five", 6: "six", 7: "seven", 8: "eight"}
 
 # Strict flat JSON object of string keys to string values (Python json.loads accepts
-# exactly these bodies as a str->str dict); S is a JSON string, J optional JSON blanks.
-_S = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+# exactly these bodies as a str->str dict); S is a JSON string (no raw control characters, only
+# the escapes JSON has), J optional JSON blanks.
+_C = r'[^"\\\x00-\x1F]*'
+_S = rf'"{_C}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_C})*"'
 _J = r"[ \t\r\n]*"
 STRICT_OBJECT = rf"^{_J}\{{{_J}(?:{_S}{_J}:{_J}{_S}{_J}(?:,{_J}{_S}{_J}:{_J}{_S}{_J})*)?\}}{_J}\z"
 GREEDY_OBJECT = r"(\{[\s\S]*\})"

@@ -160,11 +160,12 @@ def mcnemar_exact(counts: DataFrame, digits: int = 9, alpha: float = ALPHA) -> D
         .when(n == 0, F.lit(1.0)) \
         .otherwise(F.least(F.lit(1.0), 2 * binom_cdf_half(k, n)))
     stat = F.when(F.col("n_valid") == 0, F.lit(None).cast("double")).otherwise(k.cast("double"))
-    out = counts.withColumn("statistic", stat).withColumn("p_value", F.round(p, digits))
-    return out.withColumn("significant", F.col("p_value") < alpha).withColumn(
-        "verdict", F.when(F.col("p_value").isNull(), F.lit("not applicable"))
-        .when(F.col("p_value") < alpha, F.lit("significant difference"))
-        .otherwise(F.lit("no significant difference")))
+    # significance is judged on the unrounded p; rounding is for display
+    out = counts.withColumn("statistic", stat).withColumn("_p", p)
+    return out.withColumn("p_value", F.round("_p", digits)).withColumn("significant", F.col("_p") < alpha).withColumn(
+        "verdict", F.when(F.col("_p").isNull(), F.lit("not applicable"))
+        .when(F.col("_p") < alpha, F.lit("significant difference"))
+        .otherwise(F.lit("no significant difference"))).drop("_p")
 
 
 def mcnemar_chi2(counts: DataFrame, digits: int = 9, with_p: bool = False) -> DataFrame:

@@ -52,7 +52,7 @@ def ranked_sample(df: DataFrame, n: int, row_id: str = "row_id", by: Sequence[st
     # bounded: at most (#groups x 65 536) rows when the groups are a listed class set
     picked = keyed.join(F.broadcast(hist) if bounded else hist, [*by, "_b"], "inner")
     wr = Window.partitionBy(*by, "_b").orderBy("_k", row_id)
-    ranked = picked.withColumn(ord_col, (F.col("_before") + F.row_number().over(wr)).cast("int"))
+    ranked = picked.withColumn(ord_col, (F.col("_before") + F.row_number().over(wr)).cast("long"))
     return ranked.filter(F.col(ord_col) <= n).drop("_k", "_b", "_before")
 
 

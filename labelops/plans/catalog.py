@@ -297,7 +297,7 @@ def q_validation_header(spark, sf):
 
 def _sql_rank(src: str, n: int, seed, by: str | None = None, cols: str = "doc_id") -> str:
     part = f"PARTITION BY {by} " if by else ""
-    return (f"SELECT {cols}, CAST(ord AS INTEGER) AS ord FROM (SELECT *, row_number() OVER ({part}ORDER BY "
+    return (f"SELECT {cols}, CAST(ord AS BIGINT) AS ord FROM (SELECT *, row_number() OVER ({part}ORDER BY "
             f"md5('{seed}|' || doc_id), doc_id) AS ord FROM {src}) WHERE ord <= {n}")
 
 
@@ -334,7 +334,7 @@ def q_sample_shortfall(spark, sf):
 
 
 SQL_SHUFFLED = ("shuffled AS (SELECT doc_id, text, CAST(row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) "
-                "AS INTEGER) AS ord FROM balanced)")
+                "AS BIGINT) AS ord FROM balanced)")
 
 
 def _shuffled(spark, sf):

@@ -5,15 +5,18 @@ rows already labelled are skipped (anti join on the row id), the rest are number
 batches, prompts are built, the labeller runs once per batch inside ``mapInPandas`` and
 its raw responses are **written before they are parsed** (a lazy plan must never call
 the labeller twice), then parsed, resolved over attempts and written back.  Each
-micro-batch overwrites only its own ``epoch`` partition, so a replay after a failure is
-idempotent.  Failed batches stay unlabelled; ``catch_up`` labels ``input left_anti
-labelled`` through the same functions.
+micro-batch overwrites only its own partition (run id and epoch) and skips only rows that
+*other* partitions have labelled, so a replay after a failure writes the same rows again
+and a rerun adds to what is there.  A labeller that raises has failed one attempt.  Failed
+batches stay unlabelled; ``catch_up`` labels ``input left_anti labelled`` through the same
+functions, each pass into a partition of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelops.operators import batches as B
+from labelops.session import ship_package
 
 Labeller = Callable[[str, list[str], int, int], str]
 
@@ -34,13 +38,19 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
 
 def call_labeller(prompts: DataFrame, labeller: Labeller, attempt: int) -> DataFrame:
     """Run the user labeller once per batch (prompt, ordered texts) -> ``batch_no, attempt, body``."""
+    def ask(prompt, texts, batch_no):
+        try:
+            return labeller(prompt, texts, batch_no, attempt)
+        except Exception as e:  # noqa: BLE001  a raising labeller is a failed attempt, not the end of the run
+            return f"labeller raised {type(e).__name__}"
+
     def run(it):
         for pdf in it:
-            bodies = [labeller(p, list(t), int(b), attempt) for p, t, b in
-                      zip(pdf["prompt"], pdf["texts"], pdf["batch_no"])]
+            bodies = [ask(p, list(t), int(b)) for p, t, b in zip(pdf["prompt"], pdf["texts"], pdf["batch_no"])]
             yield pd.DataFrame({"batch_no": pdf["batch_no"].astype("int32"),
                                 "attempt": [attempt] * len(pdf), "body": bodies})
 
+    ship_package(prompts.sparkSession)
     return prompts.mapInPandas(run, "batch_no int, attempt int, body string")
 
 
@@ -70,20 +80,52 @@ def label_once(todo: DataFrame, labeller: Labeller, labels: Sequence[str], noun:
     return written.filter(F.col("predicted").isNotNull()).select(row_id, "predicted")
 
 
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the runs that share a checkpoint, kept as a folder name inside it; a fresh checkpoint gets a new one."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(checkpoint)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(root):
+        for s in fs.listStatus(root):
+            if s.getPath().getName().startswith("run-"):
+                return s.getPath().getName()
+    name = f"run-{uuid.uuid4().hex[:12]}"
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(root, name))
+    return name
+
+
+def _unlabelled(rows: DataFrame, output_path: str, row_id: str, own: str) -> DataFrame:
+    """Rows that no *other* partition of the output has labelled. A replayed epoch thus labels all its
+    rows again and may overwrite its own partition without losing any."""
+    spark = rows.sparkSession
+    if not _table_exists(spark, output_path):
+        return rows
+    done = spark.read.parquet(output_path).filter(F.col("part").cast("string") != own).select(row_id)
+    return rows.join(done, row_id, "left_anti")
+
+
+def _write(out: DataFrame, output_path: str, own: str) -> None:
+    (out.withColumn("part", F.lit(own)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(output_path))
+
+
 def start(spark: SparkSession, input_path: str, schema: str, output_path: str, checkpoint: str,
           labeller: Labeller, labels: Sequence[str], noun: str, row_id: str = "row_id",
           text: str = "text", **kw):
-    """Start the resumable labelling stream; returns the ``StreamingQuery`` (availableNow)."""
+    """Start the resumable labelling stream; returns the ``StreamingQuery`` (availableNow).
+
+    Each epoch writes a partition named after the checkpoint's run id and the epoch, so a run with a
+    fresh checkpoint never touches what an earlier run wrote.
+    """
+    run = _run_id(spark, checkpoint)
+
     def each(batch: DataFrame, epoch_id: int) -> None:
-        todo = batch
-        if _table_exists(spark, output_path):
-            todo = todo.join(spark.read.parquet(output_path).select(row_id), row_id, "left_anti")
+        own = f"{run}-{epoch_id}"
+        todo = _unlabelled(batch, output_path, row_id, own)
         if todo.limit(1).count() == 0:
             return
         work = f"{checkpoint.rstrip('/')}/work/epoch={epoch_id}"
-        out = label_once(todo, labeller, labels, noun, work, row_id, text, **kw)
-        (out.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(output_path))
+        _write(label_once(todo, labeller, labels, noun, work, row_id, text, **kw), output_path, own)
 
     stream = spark.readStream.schema(schema).parquet(input_path)
     return (stream.writeStream.foreachBatch(each).trigger(availableNow=True)
@@ -92,15 +134,13 @@ def start(spark: SparkSession, input_path: str, schema: str, output_path: str, c
 
 def catch_up(spark: SparkSession, input_path: str, output_path: str, work_dir: str, labeller: Labeller,
              labels: Sequence[str], noun: str, row_id: str = "row_id", text: str = "text", **kw) -> None:
-    """Batch pass over rows the stream left unlabelled (failed batches)."""
-    todo = spark.read.parquet(input_path)
-    if _table_exists(spark, output_path):
-        todo = todo.join(spark.read.parquet(output_path).select(row_id), row_id, "left_anti")
+    """Batch pass over rows the stream left unlabelled (failed batches); every pass writes its own partition."""
+    own = f"catch-{uuid.uuid4().hex[:12]}"
+    todo = _unlabelled(spark.read.parquet(input_path), output_path, row_id, own)
     if todo.limit(1).count() == 0:
         return
-    out = label_once(todo, labeller, labels, noun, work_dir, row_id, text, **kw)
-    (out.withColumn("epoch", F.lit(-1)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(output_path))
+    work = f"{work_dir.rstrip('/')}/{own}"
+    _write(label_once(todo, labeller, labels, noun, work, row_id, text, **kw), output_path, own)
 
 
 # ---------------------------------------------------------------- deterministic offline labeller

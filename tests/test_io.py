@@ -71,3 +71,69 @@ def test_resume_labels_each_row_once(spark):
     q2.awaitTermination()
     assert spark.read.parquet(base + "/out").count() == 95
     json.dumps({})
+
+
+def test_reruns_and_replays_lose_no_labels(spark, tmp_path):
+    """A failing stream, two catch-up passes, a fresh checkpoint and a replayed epoch: every label stays."""
+    from labelops.streaming import resume as R
+
+    base, labels = str(tmp_path), ["a", "b"]
+    spark.createDataFrame([(i, f"text {i}") for i in range(60)], "row_id long, text string").repartition(1).write.parquet(base + "/in")
+
+    def run(checkpoint, failing):
+        q = R.start(spark, base + "/in", "row_id bigint, text string", base + "/out", base + checkpoint,
+                    R.offline_labeller(labels, failing), labels, "tag", batch_size=20)
+        q.awaitTermination()
+
+    def rows():
+        ids = [r["row_id"] for r in spark.read.parquet(base + "/out").collect()]
+        assert len(ids) == len(set(ids))
+        return len(ids)
+
+    run("/ck1", lambda b, a: b == 3)
+    assert rows() == 40
+    for _ in range(2):
+        R.catch_up(spark, base + "/in", base + "/out", base + "/cu", R.offline_labeller(labels, lambda b, a: True), labels, "tag",
+                   batch_size=20)
+        assert rows() == 40
+    run("/ck2", None)
+    assert rows() == 60
+    # the epoch of the first run again, as after a lost commit: it writes its own partition anew
+    own = [r["part"] for r in spark.read.parquet(base + "/out").select("part").distinct().collect()]
+    first = next(p for p in own if spark.read.parquet(base + "/out").filter(f"part = '{p}'").count() == 40)
+    again = R._unlabelled(spark.read.parquet(base + "/in"), base + "/out", "row_id", first)
+    assert again.count() == 40
+
+
+def test_raising_labeller_leaves_its_batch(spark, tmp_path):
+    from labelops.streaming import resume as R
+
+    def labeller(prompt, texts, batch_no, attempt):
+        if batch_no == 2:
+            raise ConnectionError("down")
+        import json
+
+        return json.dumps({str(i + 1): "a" for i in range(len(texts))})
+
+    base = str(tmp_path)
+    spark.createDataFrame([(i, f"text {i}") for i in range(30)], "row_id long, text string").write.parquet(base + "/in")
+    R.catch_up(spark, base + "/in", base + "/out", base + "/cu", labeller, ["a", "b"], "tag", batch_size=10)
+    assert spark.read.parquet(base + "/out").count() == 20
+
+
+def test_strict_json_rejects_what_json_rejects(spark):
+    import json
+
+    from labelops.operators import batches as B
+
+    bodies = ['{"1": "a"}', '{"1": "a\\q"}', '{"1": "\\u12"}', '{"1": "a\nb"}', '{"1": "a\tb"}', '{"1": "\\u00e9 \\" \\\\"}', '{}', '{"1": "a",}']
+
+    def strict(b):
+        try:
+            return all(isinstance(v, str) for v in json.loads(b).values())
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = [r["ok"] for r in df.select("body", df.body.rlike(B.STRICT_OBJECT).alias("ok")).collect()]
+    assert got == [strict(b) for b in bodies]
