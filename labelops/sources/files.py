@@ -21,7 +21,6 @@ from pyspark.sql.types import StructType
 # Encodings tried in order (first that decodes wins).
 ENCODINGS = ["utf-8-sig", "utf-8", "windows-1256", "cp1256", "ISO-8859-6"]
 BOM = "﻿"
-MAX_FILES_BROADCAST = 1_000_000
 
 
 def _as_list(paths: str | Sequence[str]) -> list[str]:
@@ -30,15 +29,12 @@ def _as_list(paths: str | Sequence[str]) -> list[str]:
 
 def with_file_row_ids(df: DataFrame, row_id: str = "row_id", file_col: str = "_file") -> DataFrame:
     """PRE-1: add ``row_id`` in file order (file rank by path, then position in the file)."""
-    n_files = len(df.inputFiles())
-    if n_files > MAX_FILES_BROADCAST:
-        raise ValueError(f"{n_files} input files: too many for the per-file offset table")
     if file_col not in df.columns:
         df = df.withColumn(file_col, F.col("_metadata.file_path"))
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     per_file = tagged.groupBy(file_col).agg(F.min("_mid").alias("_min"))
     per_file = per_file.withColumn("_rank", F.row_number().over(Window.orderBy(file_col)) - 1)
-    out = tagged.join(F.broadcast(per_file), file_col)  # one row per file, bounded above
+    out = tagged.join(per_file, file_col)  # one row per file; the planner picks the join
     return out.withColumn(row_id, F.shiftleft(F.col("_rank").cast("bigint"), 40) + (F.col("_mid") - F.col("_min"))) \
         .drop("_mid", "_min", "_rank")
 
