@@ -33,10 +33,19 @@ from .common import blocks_for
 CAPACITY = 4096
 END_ID = 2
 CACHE = 1_000_000
+#: a special token of the vocabulary
+SEPARATOR = "<|endoftext|>"
+TOGETHER = 200
+MARKS = b",.;:!?"
 
 
 class WordTokenizer:
-    """ids of texts as little-endian uint32 bytes, word by word through a bounded cache."""
+    """ids of texts as little-endian uint32 bytes, word by word through a bounded cache.
+
+    The vocabulary's rules lower-case, split at white space and split a letter from the mark after
+    it. So A-Z are lower-cased first (not where combining marks stand, which NFC joins by case),
+    and marks at a word's end are words of their own. New words are encoded many at a time with the
+    vocabulary's end symbol between them, which tells where one word's ids end."""
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
@@ -45,22 +54,49 @@ class WordTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.joint, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.between = self.joint.token_to_id(SEPARATOR)
         self.seen: dict[bytes, bytes] = {}
 
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """ids of each word, without the cache."""
+        out: list[bytes] = []
+        for k in range(0, len(words), TOGETHER):
+            part = [w.decode() for w in words[k:k + TOGETHER]]
+            text = "".join([w + SEPARATOR for w in part])
+            ids, cut = np.zeros(0, "<u4"), np.zeros(0, int)
+            if self.between is not None and text.count("<|") == len(part):
+                ids = np.array(self.joint.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                cut = np.flatnonzero(ids == self.between)
+            if len(cut) == len(part):
+                raw, at = ids.tobytes(), 0
+                for end in cut.tolist():
+                    out.append(raw[4 * at:4 * end])
+                    at = end + 1
+            else:  # a special string in a word, or a vocabulary without the symbol
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
     def ids(self, texts) -> list[bytes]:
-        lists = [(t or "").encode().split() for t in texts]
+        coded = [(t or "").encode() for t in texts]
+        lists = [(raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split() for raw in coded]
         if len(self.seen) > CACHE:
             self.seen = {}
-        new = [w for w in {w for ws in lists for w in ws} if w not in self.seen]
-        if new:
-            coded = self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded))
         seen = self.seen
+        cuts = {w: _body(w) for w in {w for ws in lists for w in ws} if w not in seen}
+        new = [w for w in {w[:n] for w, n in cuts.items()} | {w[n:] for w, n in cuts.items() if n < len(w)} if w not in seen]
+        seen.update(zip(new, self.encode(new)))
+        seen.update((w, seen[w[:n]] + seen[w[n:]]) for w, n in cuts.items() if n < len(w))
         return [b"".join([seen[w] for w in ws]) for ws in lists]
 
 
+def _body(word: bytes) -> int:
+    """Length of a word without the marks at its end, if a letter a-z stands before them."""
+    n = len(word.rstrip(MARKS))
+    return n if n and 97 <= word[n - 1] <= 122 else len(word)
+
+
 #: one tokenizer and cache per vocabulary and Python worker; they outlive a task where workers are reused
 _TOKENIZERS: dict[str | None, WordTokenizer] = {}
 

@@ -55,3 +55,16 @@ def test_special_strings_and_odd_space_are_ordinary_text(spark):
 
 def test_empty(empty):
     assert P.pack(empty).collect() == []
+
+
+def test_words_spell_whole_texts():
+    import random
+
+    bits = ["a", "B", "Z", "h", "H", "I", "'", ",", ".", "!", " ", "\n", "̱", "́", "̇", "İ", "ß", "漢", "Σ", "é",
+            "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "1", "\x1c", "　", "don't", "'S", "</w>"]
+    pick = random.Random(3)
+    texts = ["".join(pick.choices(bits, k=pick.randint(0, 14))) for _ in range(3000)]
+    words = P.WordTokenizer()
+    for text, got in zip(texts, words.ids(texts)):
+        want = words.plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
