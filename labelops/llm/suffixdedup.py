@@ -17,7 +17,7 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 4. Removed windows go back to their document and are united into spans.
 
 A document whose whole text a smaller id has (found by a map-side combined aggregate over text
-hashes) loses all of it and sends no text to step 2; the smallest id of the text stands for it.
+hashes) loses all of it and takes no part in the steps; the smallest id of the text stands for it.
 Equal run texts inside one Arrow slice are sent once. A key with more than ``HOT`` runs (a passage
 shared by much of the corpus has few such keys, but many different surroundings) is not gathered:
 each of its windows is routed by its own hash, and equal windows of a slice are sent once, so the
@@ -456,8 +456,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digests = base.select("rid", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.substring(F.sha2("text", 256), 1, 32).alias("text"))
     least = digests.groupBy("text").agg(F.min("id").alias("least"))
     copies = digests.join(least, "text").filter("id > least").select("rid").distinct()
-    shared = (base.mapInArrow(entries(buckets), ENTRY).groupBy("bucket").applyInArrow(shared_runs, SHARED)
-              .join(copies, "rid", "left_anti")
+    # one partitioning by rid serves this join and both later ones: the texts are dealt out once
+    shared = (base.join(copies, "rid", "left_anti").select("rid", "doc_id", "text")
+              .mapInArrow(entries(buckets), ENTRY).groupBy("bucket").applyInArrow(shared_runs, SHARED)
               .groupBy("rid").agg(F.collect_list(F.struct("bucket", "keys", "starts", "sizes", "hot")).alias("runs")))
     gone = (base.join(shared, "rid").select("rid", "doc_id", "text", "runs")
             .mapInArrow(piece_texts(buckets), PIECE).groupBy("bucket")
