@@ -6,7 +6,8 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
    in it. Equal windows have equal keys, always; neighbouring windows mostly share one, so a
    document is a sequence of runs (key, first window, number of windows), one per about 16 bytes.
    Runs go to hash buckets by key, packed as arrays. A bucket keeps the runs whose key stands in two
-   documents or more; no window outside these can occur in another document.
+   documents or more; no window outside these can occur in another document. They return
+   packed by block of documents, where each document gets its runs in one row.
 2. **Suffix arrays per shard.** The text of the remaining runs (their windows plus 49 bytes) meets
    by key. A bucket is cut at key boundaries into shards of bounded size. Each shard gets a suffix
    array by Larsson-Sadakane refinement (8, 16, 32, 50 bytes; only unsettled groups are sorted
@@ -156,9 +157,6 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(_bytes(table[name])), kind)
 
 
-SHARED = "rid long, bucket int, keys binary, starts binary, sizes binary, hot binary"
-
-
 def shared_runs(table: pa.Table) -> pa.Table:
     """Of one bucket, the runs whose key stands in several documents, packed by document."""
     counts = _joined(table, "counts", np.uint32)
@@ -181,6 +179,51 @@ def shared_runs(table: pa.Table) -> pa.Table:
                      "starts": pack(starts[order]), "sizes": pack(sizes[order]), "hot": pack(hot)})
 
 
+BLOCK = "block int, bucket int, rids binary, counts binary, keys binary, starts binary, sizes binary, hot binary"
+
+
+def shared_by_block(blocks: int):
+    """``shared_runs`` of one bucket, packed by block of documents: the number of rows follows the
+    number of buckets and blocks, not documents times buckets."""
+    def run(table: pa.Table) -> pa.Table:
+        t = shared_runs(table)
+        rid = t["rid"].to_numpy()
+        block = (rid.view(np.uint64) >> np.uint64(20)) % np.uint64(blocks)
+        order = np.argsort(block, kind="stable")
+        used, at = np.unique(block[order], return_index=True)
+        cut = list(zip(at, [*at[1:], len(order)]))
+        packed = [_bytes(t[name].take(pa.array(order))) for name in ("keys", "starts", "sizes", "hot")]
+        counts = np.array([len(x) for x in packed[2]], np.uint32)
+        flat = [pa.array(x, pa.binary()) for x in (
+            [rid[order[s:e]].tobytes() for s, e in cut], [counts[s:e].tobytes() for s, e in cut],
+            *([b"".join(x[s:e]) for s, e in cut] for x in packed))]
+        bucket = table["bucket"][0].as_py()
+        return pa.table([pa.array(used.astype(np.int32)), pa.array([bucket] * len(cut), pa.int32()), *flat],
+                        names=["block", "bucket", "rids", "counts", "keys", "starts", "sizes", "hot"])
+
+    return run
+
+
+RUNS = "rid long, runs array<struct<bucket: int, keys: binary, starts: binary, sizes: binary, hot: binary>>"
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """Of one block of documents, the shared runs of each document in one row."""
+    counts, rid = _joined(table, "counts", np.uint32).astype(np.int64), _joined(table, "rids", np.int64)
+    docs = [len(b) // 8 for b in _bytes(table["rids"])]
+    end = np.cumsum(counts)
+    order = np.argsort(rid, kind="stable")
+    at = np.flatnonzero(np.r_[True, rid[order][1:] != rid[order][:-1]])
+    cut = [(int(end[k] - counts[k]), int(end[k])) for k in order]
+    columns = [pa.array(np.repeat(table["bucket"].to_numpy(), docs)[order], pa.int32())]
+    for name, width in (("keys", 4), ("starts", 4), ("sizes", 1), ("hot", 1)):
+        blob = b"".join(_bytes(table[name]))
+        columns.append(pa.array([blob[width * s:width * e] for s, e in cut], pa.binary()))
+    runs_ = pa.StructArray.from_arrays(columns, names=["bucket", "keys", "starts", "sizes", "hot"])
+    lists = pa.ListArray.from_arrays(pa.array([*at, len(order)], pa.int32()), runs_)
+    return pa.table({"rid": pa.array(rid[order][at], pa.int64()), "runs": lists})
+
+
 PIECE = "bucket int, keys binary, lengths binary, bytes binary, which binary, rids binary, ids binary, starts binary"
 
 
@@ -458,8 +501,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = digests.join(least, "text").filter("id > least").select("rid").distinct()
     # one partitioning by rid serves this join and both later ones: the texts are dealt out once
     shared = (base.join(copies, "rid", "left_anti").select("rid", "doc_id", "text")
-              .mapInArrow(entries(buckets), ENTRY).groupBy("bucket").applyInArrow(shared_runs, SHARED)
-              .groupBy("rid").agg(F.collect_list(F.struct("bucket", "keys", "starts", "sizes", "hot")).alias("runs")))
+              .mapInArrow(entries(buckets), ENTRY).groupBy("bucket").applyInArrow(shared_by_block(buckets), BLOCK)
+              .groupBy("block").applyInArrow(by_document, RUNS))
     gone = (base.join(shared, "rid").select("rid", "doc_id", "text", "runs")
             .mapInArrow(piece_texts(buckets), PIECE).groupBy("bucket")
             .applyInArrow(removed_windows, "rid long, from binary, to binary").select("rid", F.struct("from", "to").alias("span")))
