@@ -43,15 +43,19 @@ def _buckets(w, pairs, buckets: int):
     return F.concat(F.transform(w, lambda x: small(F.xxhash64(x))), F.transform(pairs, small))
 
 
-def repeat_words(triples):
-    """Words inside three-word windows that occur at least twice in the array of window hashes."""
-    placed = F.array_sort(F.transform(triples, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twins = F.zip_with(placed, F.slice(placed, 2, F.size(triples)),
+def with_repeat_words(rows: DataFrame, triples: str) -> DataFrame:
+    """Adds n_repeat_words: words inside three-word windows that occur at least twice in ``triples``,
+    the array of window hashes. Each step is a column of its own, so that nothing is sorted twice."""
+    t = F.col(triples)
+    placed = F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.select("*", F.when(F.size(F.array_distinct(t)) < F.size(t), placed).alias("placed"))
+    twins = F.zip_with("placed", F.slice("placed", 2, F.size("placed")),
                        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
-    steps = F.zip_with(at, F.slice(at, 2, F.size(triples)), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+    twins = F.filter(twins, lambda x: x.isNotNull())
+    rows = rows.select("*", F.sort_array(F.array_distinct(F.flatten(twins))).alias("at")).drop("placed", triples)
+    steps = F.zip_with("at", F.slice("at", 2, F.size("at")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(F.size(F.array_distinct(triples)) < F.size(triples), covered).otherwise(F.lit(0).cast("long"))
+    return rows.select("*", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words")).drop("at")
 
 
 def log_ratios(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS, alpha: float = 1.0) -> list[float]:
@@ -91,9 +95,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                        _triples(F.col("p"), F.col("w")).alias("t"), _buckets(F.col("w"), F.col("p"), buckets).alias("b"))
     total = F.aggregate("b", F.lit(0.0), lambda s, x: s + F.element_at(table, x + 1))
-    rows = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                       repeat_words(F.col("t")).alias("n_repeat_words"),
+    rows = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "t",
                        F.when(F.size("b") > 0, total / F.size("b")).otherwise(0.0).alias("score"))
+    rows = with_repeat_words(rows, "t")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
