@@ -93,8 +93,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     out = hits.select("row", "n_words",
                       F.coalesce(F.size(F.when(F.col("hit").isNotNull(), covered)), F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce(F.when(F.col("hit").isNotNull(), names), none).alias("items"))
-    return out.select("row", "n_words", F.greatest("n_hit", F.lit(0)).alias("n_hit"),
-                      F.size("items").cast("long").alias("n_items"),
-                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                      ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
-                      "items")
+    verdict = F.struct(
+        "n_words", F.greatest("n_hit", F.lit(0)).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "items")
+    # through a generator, so that a caller's filter on the verdict is not pushed below it, where it
+    # would split the text again for each candidate
+    return out.select("row", F.inline(F.array(verdict)))
