@@ -26,8 +26,10 @@ def pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[s
 
     triples = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), v(a).alias("truth"), v(b).alias("pred"))
                         for a, b in pairs])
-    exploded = df.select(*keys, F.inline(triples))
-    return C.cells(exploded, "truth", "pred", [*keys, "pair"])
+    # labels are few: count their raw combinations, then normalise and expand those
+    raw = df.groupBy(*keys, *dict.fromkeys(c for pair in pairs for c in pair)).agg(F.count(F.lit(1)).alias("_rows"))
+    return (raw.select(*keys, "_rows", F.inline(triples)).groupBy(*keys, "pair", "truth", "pred")
+            .agg(F.sum("_rows").cast("bigint").alias(C.N)))
 
 
 def kappa_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str] = ()) -> DataFrame:

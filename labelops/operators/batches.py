@@ -1,11 +1,10 @@
 """Batches, review flags, prompts, responses and write-back
 (WIN-1, JN-2, JN-3, FLT-7, FLT-9, SET-3, AGG-25, AGG-27, TXT-1…TXT-3, SHT-2).
 
-WIN-1 at scale: a global ``row_number()`` is one task.  ``number_rows`` instead
-range-partitions on the order key, sorts inside partitions and writes a reliable
-checkpoint (so partition ids and order are fixed across retries), counts rows per
-partition, broadcasts the prefix offsets (one row per partition) and numbers rows
-locally — dense 1..n with no single-task step.
+WIN-1 at scale: a global ``row_number()`` is one task.  ``number_rows`` instead ranks through a
+tree over the bits of the integer key: rows are numbered inside buckets of 65 536 key values, and
+the rows before a bucket are sums over its smaller siblings, level by level.  No window holds more
+than 65 536 keys, nothing is materialised, and only the key is read to count.
 """
 
 from __future__ import annotations
@@ -15,12 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelops.session import ensure_checkpoint_dir
-
 # Batch sizes for review sheets and labelling calls, and attempts per batch.
 REVIEW_BATCH = 100
 LABEL_BATCH = 20
 MAX_ATTEMPTS = 4  # first call + 3 retries
+KEY_BITS = 16  # key bits per level of ``number_rows``
 
 # Labelling prompt wording; {noun}, {nouns}, {count}, {language}, the label
 # list and the label csv are filled in per task.
@@ -71,34 +69,48 @@ def prompt_parts(labels: Sequence[str], noun: str, nouns: str | None = None,
 
 
 def number_rows(df: DataFrame, order_by: str, out: str = "rn") -> DataFrame:
-    """Dense 1..n numbering by a unique key without a single-task window (see module doc)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(nparts, order_by).sortWithinPartitions(order_by).checkpoint(eager=True)
-    pid = F.spark_partition_id()
-    tagged = (ranged.withColumn("_pid", pid)
-              .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33)))
-    counts = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: a bounded broadcast
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).cast("bigint").alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.col("_local") + 1)
-            .drop("_pid", "_local", "_off"))
+    """Dense 1..n numbering by a unique integer key without a single-task window (see module doc)."""
+    def parent(c: str) -> Column:
+        return F.shiftright(F.col(c), KEY_BITS)
+
+    level = df.select(F.shiftright(F.col(order_by).cast("bigint"), KEY_BITS).alias("_b0")) \
+        .groupBy("_b0").agg(F.count(F.lit(1)).alias("_n0"))
+    levels = [level]
+    for i in range(1, 64 // KEY_BITS):
+        level = level.groupBy(parent(f"_b{i - 1}").alias(f"_b{i}")).agg(F.sum(f"_n{i - 1}").alias(f"_n{i}"))
+        levels.append(level)
+    # rows before each bucket: those before its parent and those of its smaller siblings; the last
+    # level has one bucket for negative keys and one for the others
+    before = None
+    for i in reversed(range(len(levels))):
+        top = before is None
+        w = (Window.partitionBy() if top else Window.partitionBy("_up")).orderBy(f"_b{i}") \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        here = levels[i].withColumn("_up", parent(f"_b{i}")) \
+            .withColumn("_in", F.coalesce(F.sum(f"_n{i}").over(w), F.lit(0)).cast("bigint"))
+        if top:
+            before = here.select(f"_b{i}", F.col("_in").alias(f"_off{i}"))
+        else:
+            before = here.join(before, F.col("_up") == F.col(f"_b{i + 1}")) \
+                .select(f"_b{i}", (F.col("_in") + F.col(f"_off{i + 1}")).alias(f"_off{i}"))
+    tagged = df.withColumn("_b0", F.shiftright(F.col(order_by).cast("bigint"), KEY_BITS))
+    ranked = tagged.withColumn("_local", F.row_number().over(Window.partitionBy("_b0").orderBy(order_by)))
+    return (ranked.join(before, "_b0")
+            .withColumn(out, F.col("_off0") + F.col("_local"))
+            .drop("_b0", "_local", "_off0"))
 
 
 def batch_numbers(df: DataFrame, order_by: str, size: int = REVIEW_BATCH) -> DataFrame:
     """WIN-1: ``batch_no`` 1.. and ``pos`` 1..size in ``order_by`` order; the last batch may be short."""
     n = number_rows(df, order_by, "_rn")
-    return (n.withColumn("batch_no", F.ceil(F.col("_rn") / F.lit(size)).cast("int"))
+    return (n.withColumn("batch_no", F.ceil(F.col("_rn") / F.lit(size)).cast("bigint"))
             .withColumn("pos", ((F.col("_rn") - 1) % size + 1).cast("int"))
             .drop("_rn"))
 
 
 def apply_flags(numbered: DataFrame, flags: DataFrame, out: str = "flagged") -> DataFrame:
     """JN-2: mark rows listed in ``flags(batch_no, pos)``; out-of-range flags match nothing."""
-    f = flags.select(F.col("batch_no").cast("int"), F.col("pos").cast("int")).distinct() \
+    f = flags.select(F.col("batch_no").cast("bigint"), F.col("pos").cast("int")).distinct() \
         .withColumn(out, F.lit(True))
     return numbered.join(f, ["batch_no", "pos"], "left").fillna(False, subset=[out])
 

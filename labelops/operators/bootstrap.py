@@ -2,9 +2,9 @@
 
 Resampling n rows with replacement is exactly Multinomial(n, cells / n) on the
 confusion cells, so B replicates cost O(B·K²) instead of O(B·n): the rows are
-reduced to cells by one aggregate, and the replicates are generated by
-``mapInPandas`` over ``spark.range(B)`` (spread over tasks) with a generator keyed by
-``[seed, replicate]`` — the result does not depend on partitioning.  Summaries are
+reduced to cells by one aggregate, each group's cells (K² of a closed label set) meet in one row,
+and ``mapInPandas`` draws the replicates of a row on the executors with a generator keyed by
+``[seed, replicate, group]`` — the result does not depend on partitioning.  Summaries are
 Spark aggregates: mean, population std and linear-interpolated percentiles.
 """
 
@@ -17,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelops.session import ship_package
+
 # Replicates, seed, confidence level and the minimum number of valid rows.
 N_BOOTSTRAP = 1000
 SEED = 42
 LEVEL = 0.95
 MIN_ROWS = 10
-MAX_CELL_ROWS = 1_000_000  # cells are K² per group; refuse anything that is not small
+DRAWS_PER_ROW = 50  # replicates drawn from one row of cells
 
 
 def _metric_values(t_idx: np.ndarray, p_idx: np.ndarray, hit: np.ndarray, n_labels: int,
@@ -42,47 +44,35 @@ def _metric_values(t_idx: np.ndarray, p_idx: np.ndarray, hit: np.ndarray, n_labe
 def replicates(c: DataFrame, keys: Sequence[str] = ("model",), n_bootstrap: int = N_BOOTSTRAP,
                seed: int = SEED, min_rows: int = MIN_ROWS) -> DataFrame:
     """``keys…, replicate, metric, value`` for every replicate (B × groups × 2 rows)."""
-    spark = c.sparkSession
     keys = list(keys)
-    # bounded (K² per group): refuse more than MAX_CELL_ROWS, then ship to the tasks in the
-    # closure, sorted so the draws never depend on the order the cells arrive in
-    pdf = c.limit(MAX_CELL_ROWS + 1).toPandas()
-    if len(pdf) > MAX_CELL_ROWS:
-        raise ValueError(f"more than {MAX_CELL_ROWS} confusion cells: labels are not a small closed set")
-    pdf = pdf.assign(_t=pdf["truth"].fillna("\x00"), _p=pdf["pred"].fillna("\x00")) \
-        .sort_values([*keys, "_t", "_p"], kind="mergesort").reset_index(drop=True)
-    groups = [(g if isinstance(g, tuple) else (g,), part) for g, part in pdf.groupby(keys, sort=True)] \
-        if keys else [((), pdf)]
-    prepared = []
-    for g, part in groups:
-        counts = part["n"].to_numpy(dtype=np.int64)
-        total = int(counts.sum())
-        if total < min_rows:
-            continue
-        t, p = part["truth"].to_numpy(dtype=object), part["pred"].to_numpy(dtype=object)
-        labels = sorted({x for x in np.concatenate([t, p]) if x is not None and x == x})
-        pos = {x: i for i, x in enumerate(labels)}
-        none = len(labels)  # null labels get their own slot, never counted as a label
-        t_idx = np.array([pos.get(x, none) for x in t], dtype=np.int64)
-        p_idx = np.array([pos.get(x, none) for x in p], dtype=np.int64)
-        hit = (t_idx == p_idx) & (t_idx < none)
-        prepared.append((g, t_idx, p_idx, hit, none + 1, counts, total))
-    key_schema = ", ".join(f"`{k}` string" for k in keys)
-    schema = (key_schema + ", " if keys else "") + "valid_samples long, replicate long, metric string, value double"
+    cell = F.struct("truth", "pred", F.col("n").cast("bigint").alias("n"))
+    groups = c.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"),
+                                  F.sum("n").cast("bigint").alias("valid_samples"))
+    groups = groups.filter(F.col("valid_samples") >= min_rows) \
+        .withColumn("group_no", F.crc32(F.to_json(F.struct(F.lit(0), *keys)))) \
+        .withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1), F.lit(DRAWS_PER_ROW))))
+    spread = groups.repartition(*keys, "first")
+    key_schema = "".join(f"`{k}` {c.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b["id"].tolist():
-                rng = np.random.default_rng([seed, int(r)])
-                for g, t_idx, p_idx, hit, k, counts, total in prepared:
-                    draw = rng.multinomial(total, counts / total)
-                    for m, v in _metric_values(t_idx, p_idx, hit, k, draw).items():
-                        out.append((*[str(x) for x in g], total, int(r), m, v))
-            yield pd.DataFrame(out, columns=[*keys, "valid_samples", "replicate", "metric", "value"])
+            for r in b.to_dict("records"):
+                t, p, n = (np.array([x[k] for x in r["cells"]], object) for k in ("truth", "pred", "n"))
+                pos = {x: i for i, x in enumerate(sorted({x for x in [*t, *p] if x is not None}))}
+                none = len(pos)  # null labels get their own slot, never counted as a label
+                t_idx = np.array([pos.get(x, none) for x in t], np.int64)
+                p_idx = np.array([pos.get(x, none) for x in p], np.int64)
+                hit, total = (t_idx == p_idx) & (t_idx < none), int(r["valid_samples"])
+                share, out = n.astype(np.int64) / total, []
+                for i in range(r["first"], min(r["first"] + DRAWS_PER_ROW, n_bootstrap)):
+                    draw = np.random.default_rng([seed, i, int(r["group_no"])]).multinomial(total, share)
+                    for m, v in metric_values(t_idx, p_idx, hit, none + 1, draw).items():
+                        out.append((*[r[k] for k in keys], total, i, m, v))
+                yield pd.DataFrame(out, columns=[*keys, "valid_samples", "replicate", "metric", "value"])
 
-    parts = max(1, min(n_bootstrap, spark.sparkContext.defaultParallelism))
-    return spark.range(n_bootstrap, numPartitions=parts).mapInPandas(run, schema)
+    metric_values = _metric_values
+    ship_package(c.sparkSession)
+    return spread.mapInPandas(run, key_schema + "valid_samples long, replicate long, metric string, value double")
 
 
 def bootstrap(c: DataFrame, keys: Sequence[str] = ("model",), n_bootstrap: int = N_BOOTSTRAP,

@@ -71,33 +71,41 @@ def dedup_first(df: DataFrame, text: str = "text", row_id: str = "row_id",
     return df.join(firsts.select(row_id), row_id, "left_semi")
 
 
-def classify(df: DataFrame, text: str = "text", row_id: str = "row_id",
-             order: Sequence[str] = BLANK_FIRST, min_n: int = MIN_CHARS,
-             max_words: int = MAX_WORDS) -> DataFrame:
-    """One row per distinct text with the first rule it fails (``rule``, null = kept).
-
-    ``_copies`` counts the rows behind it; the extra copies are duplicates, except for
-    blank text when the blank rule runs first (then all copies are blank).
-    """
-    distinct = dedup_first(df, text, row_id, with_copies=True)
+def _text_rule(text: str, order: Sequence[str], min_n: int, max_words: int) -> Column:
+    """The first rule a text fails, null when it passes all; duplicates are decided by copy count."""
     conds: dict[str, Column] = {
         "blank": is_blank(text),
-        "duplicate": F.lit(False),  # decided by copy count, see funnel_counts
         "too_short": F.length(text) < min_n,
         "too_long": exceeds_words(text, max_words),
     }
     rule = F.lit(None).cast("string")
     for name in reversed([r for r in order if r != "duplicate"]):
         rule = F.when(conds[name], F.lit(name)).otherwise(rule)
-    return distinct.withColumn("rule", rule)
+    return rule
+
+
+def classify(df: DataFrame, text: str = "text", row_id: str = "row_id",
+             order: Sequence[str] = BLANK_FIRST, min_n: int = MIN_CHARS,
+             max_words: int = MAX_WORDS) -> DataFrame:
+    """``row_id, rule, _copies``: one row per distinct text with the first rule it fails (null = kept).
+
+    The rules look at the text alone, so all copies agree: one scan, one shuffle of digests, no join.
+    ``_copies`` counts the rows behind a text; the extra copies are duplicates, except for blank
+    text when the blank rule runs first (then all copies are blank).
+    """
+    ruled = df.select(row_id, F.sha2(F.col(text), 256).alias("_h"),
+                      _text_rule(text, order, min_n, max_words).alias("rule"))
+    return (ruled.groupBy("_h").agg(F.min(row_id).alias(row_id), F.max("rule").alias("rule"),
+                                    F.count(F.lit(1)).alias("_copies"))
+            .drop("_h"))
 
 
 def clean(df: DataFrame, text: str = "text", row_id: str = "row_id",
           order: Sequence[str] = BLANK_FIRST, min_n: int = MIN_CHARS,
           max_words: int = MAX_WORDS) -> DataFrame:
-    """Rows that pass every rule (first copy of each text)."""
-    c = classify(df, text, row_id, order, min_n, max_words)
-    return c.filter(F.col("rule").isNull()).drop("rule", "_copies")
+    """Rows that pass every rule (first copy of each text); only those are hashed and joined."""
+    passed = df.filter(_text_rule(text, order, min_n, max_words).isNull())
+    return dedup_first(passed, text, row_id)
 
 
 def funnel_counts(classified: DataFrame, order: Sequence[str] = BLANK_FIRST) -> DataFrame:

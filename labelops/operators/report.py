@@ -14,7 +14,7 @@ from labelops.operators.compare import valid_for_all
 def metric_report(wide: DataFrame, models: Sequence[str], valid: Sequence[str], norm_cells: DataFrame,
                   exact: DataFrame, truth: str = "truth", digits: int = 4) -> DataFrame:
     """Dataset counts, per-model metrics (rounded) and McNemar lines, unioned."""
-    ok = valid_for_all(wide, [truth, *models], valid)
+    ok = valid_for_all(wide, [truth], valid)  # valid rows: those whose truth is
     ds = wide.agg(F.count(F.lit(1)).cast("double").alias("rows_loaded"),
                   F.count_if(ok).cast("double").alias("rows_valid"))
     ds = ds.select(F.lit("dataset").alias("section"), F.lit("all").alias("subject"),

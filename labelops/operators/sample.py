@@ -18,12 +18,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelops.functions.frames import attach_scalars
 from labelops.operators.labels import select_classes
 
 # Default seeds and sizes.
 SEED = 42
 BUCKET_HEX_DIGITS = 4  # 16 bits -> 65 536 buckets per group
-EXACT_CHECKSUM_MAX_ROWS = 1_000_000
+# Checksum tree: 65 536 rows a chunk and level (four levels reach any bigint position), or digest prefixes.
+CHUNK_BITS, ORDER_LEVELS = 16, 4
+CHUNK_PREFIXES = (8, 4)
 
 
 def rank_key(row_id: str, seed: int | str = SEED) -> Column:
@@ -98,21 +101,34 @@ def shuffle_order(df: DataFrame, row_id: str = "row_id", seed: int | str = SEED,
     return ranked_sample(df, 2**62, row_id, (), seed, ord_col)
 
 
-def checksum(df: DataFrame, text: str = "text", order_by: Sequence[str] | None = None,
-             max_rows: int = EXACT_CHECKSUM_MAX_ROWS) -> DataFrame:
-    """AGG-24 exact form: MD5 of all texts concatenated in ``order_by`` order (default: by text).
+def checksum(df: DataFrame, text: str = "text", order_by: str | None = None,
+             keys: Sequence[str] = ()) -> DataFrame:
+    """AGG-24: ``keys..., checksum, n_rows`` of any number of rows, as a tree of MD5 digests.
 
-    The texts meet in one row, so this is only for samples: it refuses inputs above
-    ``max_rows``; use ``fingerprint`` for whole corpora.
+    ``order_by`` names a stored 1..n position: the digests of 65 536 rows in order give the digest of
+    a chunk, and so on for ``ORDER_LEVELS`` levels. Without it the texts count as sorted by digest
+    (equal texts collapse to one digest and a count) and chunks are digest prefixes.
     """
-    have = df.count()
-    if have > max_rows:
-        raise ValueError(f"exact checksum over {have} rows exceeds {max_rows}; use fingerprint()")
-    keys = list(order_by) if order_by else [text]
-    item = F.struct(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col(text).alias("_t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_t"]), "")
-    return df.agg(F.md5(F.coalesce(joined, F.lit(""))).alias("checksum"),
-                  F.count(F.lit(1)).alias("n_rows"))
+    keys = list(keys)
+    digest = F.coalesce(F.md5(F.col(text)), F.lit(""))
+
+    def fold(level: DataFrame, chunk: Column | None) -> DataFrame:
+        by = [*keys] + ([chunk.alias("_c")] if chunk is not None else [])
+        item = F.struct("_c", "_d")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_d"]), "")
+        return level.groupBy(*by).agg(F.md5(joined).alias("_d"), F.sum("_n").cast("bigint").alias("_n"))
+
+    one = F.lit(1).cast("bigint")
+    if order_by:
+        level = df.select(*keys, (F.col(order_by).cast("bigint") - 1).alias("_c"), digest.alias("_d"), one.alias("_n"))
+        chunks = [F.shiftright("_c", CHUNK_BITS)] * (ORDER_LEVELS - 1)
+    else:
+        level = df.groupBy(*keys, digest.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+        level = level.withColumn("_d", F.concat_ws(":", "_c", F.col("_n").cast("string")))
+        chunks = [F.substring("_c", 1, n) for n in CHUNK_PREFIXES]
+    for c in [*chunks, None]:
+        level = fold(level, c)
+    return level.select(*keys, F.col("_d").alias("checksum"), F.coalesce("_n", F.lit(0)).alias("n_rows"))
 
 
 def fingerprint(df: DataFrame, text: str = "text", row_id: str = "row_id") -> DataFrame:
@@ -123,8 +139,8 @@ def fingerprint(df: DataFrame, text: str = "text", row_id: str = "row_id") -> Da
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("bigint").alias("hash_sum"))
 
 
-def checksum_check(result: DataFrame, expected: str | Column) -> DataFrame:
-    """VAL-4: compare a checksum row with an expected value: PASS / FAIL."""
-    exp = expected if isinstance(expected, Column) else F.lit(expected)
-    return result.select("checksum", exp.alias("expected"),
-                         F.when(F.col("checksum") == exp, F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"))
+def checksum_check(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """VAL-4: compare checksum rows with the one-row stored checksum ``expected``: PASS / FAIL."""
+    out = attach_scalars(results.drop("n_rows"), expected.select(F.col("checksum").alias("expected")))
+    return out.withColumn("status", F.when(F.col("checksum") == F.col("expected"), F.lit("PASS"))
+                          .otherwise(F.lit("FAIL")))

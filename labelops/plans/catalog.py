@@ -43,9 +43,6 @@ LANGS, MODELS, QUALITY = X.LANGS, X.MODELS, X.QUALITY
 
 # ================================================================ projections
 
-ORDERS_RAW_NOTE = "orders with an index column and untidy names, as a CSV export would give"
-
-
 def _orders_raw(spark, sf):
     o = table(spark, sf, "orders")
     return o.select(F.col("o_orderkey").alias("Unnamed: 0"), "o_orderkey", "o_custkey", "o_orderstatus",
@@ -281,16 +278,13 @@ def q_dataset_card(spark, sf):
     return P.dataset_card(X.cleaned_docs(spark, sf), "lang")
 
 
-@query("validation_header", "SELECT count(*) AS n_loaded, count(*) FILTER (WHERE ok) AS n_valid, "
-       "count(DISTINCT CASE WHEN ok THEN t END) AS n_classes FROM (SELECT " + s_norm("truth") + " AS t, (" +
-       " AND ".join(f"coalesce({s_norm(c)} IN {s_in(LANGS)}, false)" for c in ["truth"] + [f'"{m}"' for m in MODELS])
-       + ") AS ok FROM preds_wide)", (PW,))
+@query("validation_header", f"""SELECT count(*) AS n_loaded, count(*) FILTER (WHERE t IN {s_in(LANGS)}) AS n_valid,
+  count(DISTINCT t) FILTER (WHERE t IN {s_in(LANGS)}) AS n_classes FROM (SELECT {s_norm('truth')} AS t FROM preds_wide)""", (PW,))
 def q_validation_header(spark, sf):
-    w = X.preds_wide(spark, sf)
-    ok = CP.valid_for_all(w, ["truth", *MODELS], LANGS)
-    return w.select(L.norm_label("truth").alias("t"), ok.alias("ok")).agg(
-        F.count(F.lit(1)).alias("n_loaded"), F.count_if("ok").alias("n_valid"),
-        F.count_distinct(F.when(F.col("ok"), F.col("t"))).alias("n_classes"))
+    t = X.preds_wide(spark, sf).select(L.norm_label("truth").alias("t"))
+    ok = F.col("t").isin(LANGS)
+    return t.agg(F.count(F.lit(1)).alias("n_loaded"), F.count_if(ok).alias("n_valid"),
+                 F.count_distinct(F.when(ok, F.col("t"))).alias("n_classes"))
 
 
 # ================================================================ sampling
@@ -346,16 +340,29 @@ def q_sample_shuffle(spark, sf):
     return _shuffled(spark, sf).select("doc_id", "ord")
 
 
-@query("checksum_sorted", "SELECT md5(coalesce(string_agg(text, '' ORDER BY text), '')) AS checksum, "
-       "count(*) AS n_rows FROM balanced", (CORP, SQL_BALANCED))
+def _sql_sorted(src: str) -> str:
+    return f"""(SELECT md5(string_agg(c, '' ORDER BY p)) AS checksum, CAST(sum(n) AS BIGINT) AS n_rows FROM (
+  SELECT substr(p, 1, 4) AS p, md5(string_agg(c, '' ORDER BY p)) AS c, sum(n) AS n FROM (
+    SELECT substr(h, 1, 8) AS p, md5(string_agg(h || ':' || n, '' ORDER BY h)) AS c, sum(n) AS n FROM (
+      SELECT md5(text) AS h, count(*) AS n FROM {src} GROUP BY 1) GROUP BY 1) GROUP BY 1))"""
+
+
+@query("checksum_sorted", "SELECT * FROM " + _sql_sorted("balanced"), (CORP, SQL_BALANCED))
 def q_checksum_sorted(spark, sf):
     return S.checksum(_balanced(spark, sf), "text")
 
 
-@query("checksum_ordered", "SELECT md5(coalesce(string_agg(text, '' ORDER BY ord), '')) AS checksum, "
-       "count(*) AS n_rows FROM shuffled", (CORP, SQL_BALANCED, SQL_SHUFFLED))
+def _sql_chunks(src: str, levels: int) -> str:
+    if not levels:
+        return f"(SELECT CAST(ord - 1 AS BIGINT) AS c, md5(text) AS d, 1 AS n FROM {src})"
+    return (f"(SELECT c // 65536 AS c, md5(string_agg(d, '' ORDER BY c)) AS d, sum(n) AS n FROM "
+            f"{_sql_chunks(src, levels - 1)} GROUP BY c // 65536)")
+
+
+@query("checksum_ordered", "SELECT md5(string_agg(d, '' ORDER BY c)) AS checksum, CAST(sum(n) AS BIGINT) AS n_rows "
+       "FROM " + _sql_chunks("shuffled", 3), (CORP, SQL_BALANCED, SQL_SHUFFLED))
 def q_checksum_ordered(spark, sf):
-    return S.checksum(_shuffled(spark, sf), "text", ["ord"])
+    return S.checksum(_shuffled(spark, sf), "text", "ord")
 
 
 @query("fingerprint", f"SELECT count(*) AS n_rows, CAST(sum({sh(chr(39) + chr(39) + ' || doc_id || ' + chr(39) + '|' + chr(39) + ' || text')}) AS BIGINT) "
@@ -364,12 +371,18 @@ def q_fingerprint(spark, sf):
     return S.fingerprint(_balanced(spark, sf), "text", "doc_id")
 
 
-@query("checksum_check", "SELECT c AS checksum, c AS expected, 'PASS' AS status FROM "
-       "(SELECT md5(coalesce(string_agg(text, '' ORDER BY text), '')) AS c FROM balanced)", (CORP, SQL_BALANCED))
+@query("checksum_check", f"""SELECT variant, checksum, expected, CASE WHEN variant = 'same' THEN 'PASS' ELSE 'FAIL' END
+  AS status FROM (SELECT 'same' AS variant, checksum FROM {_sql_sorted('balanced')}
+  UNION ALL SELECT 'changed', checksum FROM {_sql_sorted(
+    "(SELECT CASE WHEN ord = 1 AND lang = 'de' THEN text || '.' ELSE text END AS text FROM balanced)")}),
+  (SELECT checksum AS expected FROM {_sql_sorted('balanced')})""", (CORP, SQL_BALANCED))
 def q_checksum_check(spark, sf):
-    first = S.checksum(_balanced(spark, sf), "text")
-    again = S.checksum(_balanced(spark, sf), "text").collect()[0]["checksum"]  # one value: the re-run
-    return S.checksum_check(first, again)
+    """The stored checksum of a sample against the sample drawn again and against one altered text."""
+    same = _balanced(spark, sf).select("text", "lang", "ord")
+    one = (F.col("ord") == 1) & (F.col("lang") == "de")
+    changed = same.withColumn("text", F.when(one, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    variants = same.withColumn("variant", F.lit("same")).unionByName(changed.withColumn("variant", F.lit("changed")))
+    return S.checksum_check(S.checksum(variants, "text", keys=["variant"]), S.checksum(same, "text"))
 
 
 # ================================================================ votes
@@ -641,10 +654,10 @@ def q_confused_pairs(spark, sf):
 
 @query("top_confused", "SELECT * FROM (SELECT model, truth, pred, count, CAST(row_number() OVER (PARTITION BY model "
        "ORDER BY count DESC, truth, pred) AS INTEGER) AS rank FROM (SELECT model, truth, pred, CAST(sum(n) AS BIGINT) "
-       "AS count FROM vcells WHERE truth IS DISTINCT FROM pred GROUP BY model, truth, pred)) WHERE rank <= 10",
+       "AS count FROM vcells WHERE truth IS DISTINCT FROM pred GROUP BY model, truth, pred)) WHERE rank <= 3",
        (PW, PL, SQL_VCELLS))
 def q_top_confused(spark, sf):
-    return C.top_confused(_valid_cells(spark, sf), ["model"], 10)
+    return C.top_confused(_valid_cells(spark, sf), ["model"], 3)
 
 
 @query("per_class_accuracy", f"""SELECT model, truth AS label, CAST(sum(n) AS BIGINT) AS sample_count,
@@ -850,16 +863,17 @@ def q_label_violations(spark, sf):
 
 # ================================================================ report
 
-@query("metric_report", """SELECT 'dataset' AS section, 'all' AS subject, 'rows_loaded' AS metric,
+@query("metric_report", f"""SELECT 'dataset' AS section, 'all' AS subject, 'rows_loaded' AS metric,
   CAST(count(*) AS DOUBLE) AS value FROM preds_wide
-UNION ALL SELECT 'dataset', 'all', 'rows_valid', CAST(count(*) AS DOUBLE) FROM allvalid
+UNION ALL SELECT 'dataset', 'all', 'rows_valid', CAST(count(*) AS DOUBLE) FROM preds_wide
+  WHERE {s_norm('truth')} IN {s_in(LANGS)}
 UNION ALL SELECT 'metrics', model, 'accuracy', round(acc, 4) FROM mm
 UNION ALL SELECT 'metrics', model, 'f1_macro', round(mf, 4) FROM mm
 UNION ALL SELECT 'metrics', model, 'f1_weighted', round(wf, 4) FROM mm
 UNION ALL SELECT 'metrics', model, 'valid_samples', CAST(n AS DOUBLE) FROM mm
 UNION ALL SELECT 'mcnemar', model1 || ' vs ' || model2, 'statistic', statistic FROM exact
 UNION ALL SELECT 'mcnemar', model1 || ' vs ' || model2, 'p_value', p_value FROM exact""",
-       (PW, PL, SQL_ALLVALID, SQL_NCELLS, SQL_PERLABEL.format(cells="ncells"),
+       (PW, PL, SQL_NCELLS, SQL_PERLABEL.format(cells="ncells"),
         """mm AS (SELECT a.model, a.acc, f.mf, f.wf, a.n FROM
   (SELECT model, sum(n) AS n, coalesce(sum(n) FILTER (WHERE truth = pred), 0) / sum(n) AS acc FROM ncells GROUP BY model) a
   JOIN (SELECT model, avg(f1) AS mf, coalesce(sum(f1 * support) / nullif(sum(support), 0), 0) AS wf

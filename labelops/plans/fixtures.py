@@ -257,22 +257,22 @@ def review_numbered(spark: SparkSession, sf_dir: str, size: int = B.REVIEW_BATCH
 
 SQL_NUMBERED = """numbered AS (
   SELECT doc_id, text, lang,
-         CAST(ceil(rn / {size}) AS INTEGER) AS batch_no, CAST((rn - 1) % {size} + 1 AS INTEGER) AS pos
+         CAST(ceil(rn / {size}) AS BIGINT) AS batch_no, CAST((rn - 1) % {size} + 1 AS INTEGER) AS pos
   FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM corpus))"""
 
 
 def review_flags(numbered: DataFrame) -> DataFrame:
     """Hash-made review flags: (batch_no, pos) for every batch, positions 1..100 (so the
-    short last batch gets out-of-range flags)."""
+    short last batch gets out-of-range flags); every third batch has none."""
     b = numbered.select("batch_no").distinct()
     p = b.withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(B.REVIEW_BATCH))))
-    return p.filter(hkey("flag", F.col("batch_no"), F.col("pos")) % 17 == 0)
+    return p.filter((hkey("flag", F.col("batch_no"), F.col("pos")) % 17 == 0) & (F.col("batch_no") % 3 != 0))
 
 
 SQL_FLAGS = f"""flags AS (
   SELECT batch_no, CAST(pos AS INTEGER) AS pos
   FROM (SELECT DISTINCT batch_no FROM numbered) b, (SELECT unnest(range(1, {B.REVIEW_BATCH + 1})) AS pos) p
-  WHERE {shk("'flag'", 'batch_no', 'pos')} % 17 = 0)"""
+  WHERE {shk("'flag'", 'batch_no', 'pos')} % 17 = 0 AND batch_no % 3 <> 0)"""
 
 SQL_FLAGGED = """flagged AS (
   SELECT n.doc_id, n.text, n.lang, n.batch_no, n.pos, (f.batch_no IS NOT NULL) AS flagged

@@ -152,6 +152,25 @@ def test_number_rows_matches_global_window(spark):
     assert a.count() == df.count()
 
 
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_number_rows_any_integer_key(spark, parts):
+    keys = [-(2**63), -70_000, -1, 0, 1, 65_535, 65_536, 2**32, 2**32 + 1, 2**48 + 5, 2**63 - 1]
+    df = spark.createDataFrame([(k, str(k)) for k in keys], "k bigint, v string").repartition(parts)
+    got = {r.k: (r.rn, r.v) for r in B.number_rows(df, "k").collect()}
+    assert got == {k: (i, str(k)) for i, k in enumerate(keys, 1)}
+    assert B.number_rows(df.limit(0), "k").collect() == []
+
+
+def test_checksum_tree(spark):
+    df = spark.range(1, 140_001).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("text"))
+    swapped = df.withColumn("ord", F.when(F.col("ord") == 1, 70_000).when(F.col("ord") == 70_000, 1).otherwise(F.col("ord")))
+    one = lambda d, o=None: tuple(S.checksum(d, "text", o).collect()[0])
+    assert one(df, "ord") == one(df.repartition(7), "ord") != one(swapped, "ord")
+    assert one(df) == one(swapped) == one(df.repartition(7))
+    assert one(df) != one(df.unionByName(df.limit(1)))
+    assert one(df.limit(0))[1] == one(df.limit(0), "ord")[1] == 0
+
+
 def test_batches_short_last(spark):
     df = spark.range(0, 45).withColumnRenamed("id", "row_id")
     out = B.batch_numbers(df, "row_id", 20)
