@@ -70,9 +70,15 @@ def require_inputs(models: Sequence[str], n_valid: int | None = None, min_rows:
 
 def to_wide(long: DataFrame, models: Sequence[str], row_id: str = "row_id", truth: str = "truth",
             model: str = "model", pred: str = "predicted") -> DataFrame:
-    """JN-1: one row per row id with one column per model (shuffle on the row id)."""
-    return (long.groupBy(row_id, truth).pivot(model, list(models))
-            .agg(F.first(pred, ignorenulls=True)))
+    """JN-1: one row per row id with one column per model (shuffle on the row id).
+
+    The truth is that of the first model's rows, else the largest any other gives; ``truth_ok`` is
+    false where the models' rows disagree on it.
+    """
+    of = lambda c, m: F.max(F.when(F.col(model) == m, F.col(c)))
+    return long.groupBy(row_id).agg(
+        F.coalesce(of(truth, models[0]), F.max(truth)).alias(truth), *[of(pred, m).alias(m) for m in models],
+        F.min(truth).eqNullSafe(F.max(truth)).alias("truth_ok"))
 
 
 def to_long(wide: DataFrame, models: Sequence[str], row_id: str = "row_id", truth: str = "truth") -> DataFrame:

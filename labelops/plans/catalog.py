@@ -573,9 +573,10 @@ def q_model_files(spark, sf):
         .withColumn("model", CP.model_from_file(F.col("source_file")))
 
 
-@query("align_models", "SELECT doc_id, truth, " + ", ".join(
+@query("align_models", f"SELECT doc_id, coalesce(max(truth) FILTER (WHERE model = '{MODELS[0]}'), max(truth)) AS truth, "
+       "count(DISTINCT truth) <= 1 AS truth_ok, " + ", ".join(
     f"max(predicted) FILTER (WHERE model = '{m}') AS \"{m}\"" for m in MODELS)
-    + f" FROM (SELECT *, {SQL_MODEL_OF} AS model FROM model_files) WHERE model IS NOT NULL GROUP BY doc_id, truth",
+    + f" FROM (SELECT *, {SQL_MODEL_OF} AS model FROM model_files) WHERE model IS NOT NULL GROUP BY doc_id",
     (PW, MF))
 def q_align_models(spark, sf):
     return CP.to_wide(_model_long(spark, sf), MODELS, "doc_id", "truth")

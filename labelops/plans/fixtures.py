@@ -160,7 +160,7 @@ SQL_PREDS_LONG = ("preds_long AS (" + " UNION ALL ".join(
 def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-model result files as one long frame with a ``source_file`` column.
 
-    DeepSeek's file misses a few rows, GPT4o's has a few altered texts, and one file
+    DeepSeek's file misses a few rows, Gemini's has a few other truths, GPT4o's a few altered texts, and one file
     belongs to no model.
     """
     w = preds_wide(spark, sf_dir)
@@ -169,6 +169,8 @@ def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = w.select("doc_id", "text", "truth", F.col(m).alias("predicted"))
         if m == "DeepSeek":
             f = f.filter(hkey("miss", F.col("doc_id")) % 211 != 0)
+        if m == "Gemini":
+            f = f.withColumn("truth", F.when(hkey("other", F.col("doc_id")) % 103 == 0, F.lit("xx")).otherwise(F.col("truth")))
         if m == "GPT4o":
             f = f.withColumn("text", F.when(hkey("txt", F.col("doc_id")) % 101 == 0, F.concat("text", F.lit(" ")))
                              .otherwise(F.col("text")))
@@ -185,7 +187,8 @@ SQL_MODEL_FILES = "model_files AS (" + " UNION ALL ".join(
     [f"SELECT doc_id, text, truth, \"Claude\" AS predicted, '{MODEL_FILES['Claude']}' AS source_file FROM preds_wide",
      f"SELECT doc_id, text, truth, \"DeepSeek\", '{MODEL_FILES['DeepSeek']}' FROM preds_wide "
      f"WHERE {shk("'miss'", 'doc_id')} % 211 <> 0",
-     f"SELECT doc_id, text, truth, \"Gemini\", '{MODEL_FILES['Gemini']}' FROM preds_wide",
+     f"SELECT doc_id, text, CASE WHEN {shk("'other'", 'doc_id')} % 103 = 0 THEN 'xx' ELSE truth END, \"Gemini\", "
+     f"'{MODEL_FILES['Gemini']}' FROM preds_wide",
      f"SELECT doc_id, CASE WHEN {shk("'txt'", 'doc_id')} % 101 = 0 THEN text || ' ' ELSE text END, truth, "
      f"\"GPT4o\", '{MODEL_FILES['GPT4o']}' FROM preds_wide",
      "SELECT doc_id, text, truth, \"Claude\", 'notes (3).csv' FROM preds_wide"]) + ")"
