@@ -20,7 +20,7 @@ def op2_linededup(spark, d):
 
 
 def op3_quality(spark, d):
-    return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+    return quality.calibrated(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 def op4_toxicity(spark, d):

@@ -45,3 +45,38 @@ def test_no_good_label_and_empty(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in Q.quality(docs, labels).collect()} == {0.0}
     assert Q.quality(empty, labels).collect() == []
+
+
+def test_registered_query_keeps_the_same_share_of_clean_documents_at_any_size(spark):
+    from labelops.llm.queries import op3_quality
+
+    shares = {}
+    for sf in ("sf0.001", "sf0.01", "few labels"):
+        d = f"/root/testdata/{'sf0.01' if sf == 'few labels' else sf}"
+        labels = spark.read.parquet(f"{d}/labels.parquet")
+        marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+        if sf == "few labels":
+            out = Q.calibrated(spark.read.parquet(f"{d}/documents.parquet"), labels.orderBy("doc_id").limit(120))
+        else:
+            out = op3_quality(spark, d)
+        rows = [r for r in out.collect() if not r["base_failed"]]
+        clean = [r["kept"] for r in rows if r["doc_id"] not in marks and 50 * r["n_symbols"] <= r["n_words"]]
+        good = [r["score"] for r in rows if marks.get(r["doc_id"]) == 1]
+        bad = [r["kept"] for r in rows if marks.get(r["doc_id"]) == 0 and 5 * r["n_symbols"] > r["n_words"]]
+        assert len(clean) > 50 and sum(good) / len(good) > -0.2
+        shares[sf] = sum(clean) / len(clean)
+    assert min(shares.values()) > 0.85 and max(shares.values()) - min(shares.values()) < 0.1, shares
+
+
+def test_calibrated_scores_leave_own_counts_out(spark):
+    """A text that stands nowhere else has no evidence for or against it, labelled or not."""
+    docs = spark.createDataFrame([(k, f"only{k} here{k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")
+    assert {r["score"] for r in Q.calibrated(docs, labels, buckets=1 << 20).collect()} == {0.0}
+
+
+def test_calibrated_without_good_labels_or_documents(spark, docs, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = Q.calibrated(docs, labels).collect()
+    assert all(r["score"] == 0.0 and r["kept"] != r["base_failed"] for r in out) and any(r["kept"] for r in out)
+    assert Q.calibrated(empty, labels).collect() == []
