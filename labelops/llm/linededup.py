@@ -3,7 +3,7 @@
 A line is its words (runs of characters other than ASCII white space, A-Z in lower case). Two lines
 are near-duplicates if at most one word edit (insertion, deletion, substitution) lies between them;
 lines under ``MIN_WORDS`` words must be equal. A line goes if an equal or near-duplicate line comes
-earlier in the input, by (id, line number). Lines without a word always stay.
+earlier in the input, by (id, line number, hash of the row). Lines without a word always stay.
 
 1. One pass writes a table of lines: place, a 128-bit hash of the words, and four half keys. Equal
    lines meet by hash in a map-side combined aggregate.
@@ -17,8 +17,9 @@ earlier in the input, by (id, line number). Lines without a word always stay.
 
 Line and candidate tables are written to the shared checkpoint folder.
 
-Defined results: null text has no lines; a null id comes after all others; rows that repeat an id
-(or a row) do not remove each other's line of the same number; texts of any length; other columns
+Defined results: null text has no lines; a null id comes after all others; rows with different
+texts under one id (or without an id) are different rows, ordered at one line number by the hash of
+the row; rows that repeat a row do not remove each other's line of the same number; texts of any length; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -141,7 +142,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .filter("sub or del"))
     roles = (half.join(shared, "hk").filter((F.col("half") < 2) | F.col("del"))
              .groupBy("first").agg(F.collect_list(F.struct("half", "sub", "del")).alias("roles")))
-    wanted = roles.select("first.rid", F.struct("first.doc", "first.line", "roles").alias("x"))
+    wanted = roles.select("first.rid", F.struct("first.doc", "first.line", "first.rid", "roles").alias("x"))
     per_row = wanted.groupBy("rid").agg(F.collect_list("x").alias("wanted"))
 
     def fetch(batches):
@@ -150,35 +151,35 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 of = text.split("\n")
                 for x in wanted:
-                    out.append((x["doc"], x["line"], b" ".join(words_of(of[x["line"]])), x["roles"]))
+                    out.append((x["doc"], x["line"], x["rid"], b" ".join(words_of(of[x["line"]])), x["roles"]))
             if out:
                 cols = list(zip(*out))
                 role = pa.list_(pa.struct([("half", pa.int32()), ("sub", pa.bool_()), ("del", pa.bool_())]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()),
-                                                  pa.array(cols[3], role)], names=["doc", "line", "words", "roles"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
+                                                  pa.array(cols[3], pa.binary()), pa.array(cols[4], role)], names=["doc", "line", "rid", "words", "roles"])
 
     base = docs.select(*_row(id_col, text_col))
     (base.join(per_row, "rid").select("text", "wanted")
-     .mapInArrow(fetch, "doc long, line int, words binary, roles array<struct<half:int,sub:boolean,del:boolean>>")
-     .dropDuplicates(["doc", "line", "words"]).write.parquet(f"{place}/candidates"))
+     .mapInArrow(fetch, "doc long, line int, rid long, words binary, roles array<struct<half:int,sub:boolean,del:boolean>>")
+     .dropDuplicates(["doc", "line", "rid"]).write.parquet(f"{place}/candidates"))
     texts = spark.read.parquet(f"{place}/candidates")
 
     def emit(batches):
         for b in batches:
-            for doc, line, words, roles in zip(*(b.column(n).to_pylist() for n in ("doc", "line", "words", "roles"))):
+            for doc, line, rid, words, roles in zip(*(b.column(n).to_pylist() for n in ("doc", "line", "rid", "words", "roles"))):
                 got = variants(words.split(b" "), [(r["half"], r["sub"], r["del"]) for r in roles])
                 keys, kinds = zip(*got)
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(got), pa.int64()), pa.array([line] * len(got), pa.int32()),
-                                                  pa.array(keys, pa.int64()), pa.array(kinds, pa.string())],
-                                                 names=["doc", "line", "vk", "kind"])
+                                                  pa.array([rid] * len(got), pa.int64()), pa.array(keys, pa.int64()), pa.array(kinds, pa.string())],
+                                                 names=["doc", "line", "rid", "vk", "kind"])
 
-    out = texts.mapInArrow(emit, "doc long, line int, vk long, kind string").select(
-        "vk", "kind", F.struct("doc", "line").alias("me"))
+    out = texts.mapInArrow(emit, "doc long, line int, rid long, vk long, kind string").select(
+        "vk", "kind", F.struct("doc", "line", "rid").alias("me"))
     of = lambda k: F.min(F.when(F.col("kind") == k, F.col("me"))).alias(k)
     least = out.groupBy("vk").agg(of("s"), of("d"), of("f"))
     partner = F.when(F.col("kind") == "s", F.col("s")).when(F.col("kind") == "d", F.col("f")).otherwise(F.col("d"))
     pairs = (out.join(least, "vk").select("me", partner.alias("first")).filter(F.col("first") < F.col("me")).distinct())
-    text_of = lambda c: texts.select(F.struct("doc", "line").alias(c), F.col("words").alias(f"w_{c}"))
+    text_of = lambda c: texts.select(F.struct("doc", "line", "rid").alias(c), F.col("words").alias(f"w_{c}"))
     both = pairs.join(text_of("me"), "me").join(text_of("first"), "first")
 
     def verify(batches):
@@ -186,17 +187,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for b in batches:
             ok = [near(x.split(b" "), y.split(b" ")) for x, y in zip(b.column("w_me").to_pylist(), b.column("w_first").to_pylist())]
-            kept = pa.Table.from_batches([b]).filter(pa.array(ok, pa.bool_())).select(["doc", "line", "fdoc", "fline"])
+            kept = pa.Table.from_batches([b]).filter(pa.array(ok, pa.bool_())).select(["doc", "line", "rid", "fdoc", "fline", "frid"])
             yield from kept.to_batches()
 
-    found = (both.select("me.doc", "me.line", F.col("first.doc").alias("fdoc"), F.col("first.line").alias("fline"), "w_me", "w_first")
-             .mapInArrow(verify, "doc long, line int, fdoc long, fline int")
-             .groupBy("doc", "line").agg(F.min(F.struct("fdoc", "fline")).alias("near")))
-    firsts = distinct.select("key", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
-    verdicts = firsts.join(found, ["doc", "line"], "left").select(
-        "key", F.col("doc").alias("kdoc"), F.col("line").alias("kline"), "near")
+    found = (both.select("me.doc", "me.line", "me.rid", F.col("first.doc").alias("fdoc"), F.col("first.line").alias("fline"),
+                         F.col("first.rid").alias("frid"), "w_me", "w_first")
+             .mapInArrow(verify, "doc long, line int, rid long, fdoc long, fline int, frid long")
+             .groupBy("doc", "line", "rid").agg(F.min(F.struct("fdoc", "fline", "frid")).alias("near")))
+    firsts = distinct.select("key", "first.doc", "first.line", "first.rid")
+    verdicts = firsts.join(found, ["doc", "line", "rid"], "left").select(
+        "key", F.col("doc").alias("kdoc"), F.col("line").alias("kline"), F.col("rid").alias("krid"), "near")
     rows = every.select("rid", "doc", "line", "n_words", "key").join(verdicts, "key")
-    is_first = (F.col("doc") == F.col("kdoc")) & (F.col("line") == F.col("kline"))
+    is_first = (F.col("doc") == F.col("kdoc")) & (F.col("line") == F.col("kline")) & (F.col("rid") == F.col("krid"))
     verdict = F.when(~is_first, "equal").when(F.col("near").isNotNull(), "near").otherwise("kept")
     real = lambda c: F.when(c != NO_ID, c)
     by = F.when(~is_first, F.struct("kdoc", "kline")).otherwise(F.struct(F.col("near.fdoc").alias("kdoc"), F.col("near.fline").alias("kline")))

@@ -106,3 +106,23 @@ def test_text_without_removed_lines(spark, seed):
 def test_empty(empty):
     assert L.line_dedup(empty).collect() == []
     assert L.without_duplicates(empty).collect() == []
+
+
+@pytest.mark.parametrize("id_", [None, 7])
+def test_rows_that_share_an_id_are_rows_of_their_own(spark, id_):
+    """Only one of two rows without an id (or under one id) holds a near-duplicate at line 0."""
+    first = "one two three four five six seven eight nine"
+    clean, near = "this line stands nowhere else in all of the input", first.replace("nine", "ten")
+    a, b = "some words a b c d e f g h", "some words a b c d e f g x"
+    rows = [(1, first), (id_, near), (id_, clean), (id_, "q\n" + a), (id_, "r\n" + b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(r["text"] for r in L.without_duplicates(df).collect())
+    assert out in (sorted([first, clean, "q\n" + a, "r"]), sorted([first, clean, "q", "r\n" + b]))
+    verdicts = [(r["verdict"], r["first_doc_id"], r["first_line_no"]) for r in L.line_dedup(df).collect() if r["verdict"] != "kept"]
+    assert sorted(verdicts, key=str) == sorted([("near", 1, 0), ("near", id_, 1)], key=str)
+
+
+def test_equal_rows_keep_their_lines(spark):
+    df = spark.createDataFrame([(None, "a b\nc d"), (None, "a b\nc d"), (None, "a b\ne f")], "doc_id long, text string")
+    out = [r["text"] for r in L.without_duplicates(df).collect()]
+    assert sorted(out) in (["a b\nc d", "a b\nc d", "e f"], ["a b\ne f", "c d", "c d"])
