@@ -12,6 +12,10 @@ Tokenizing is done once per distinct word and worker (bounded cache): the tokeni
 look across white space. Only piece descriptions are shuffled, never texts or ids. The number of
 blocks follows from the number of rows, so that a block stays small at any size.
 
+With ``added_tokens`` (the registered query and the pipeline) the ids are those of the vocabulary's own
+tokenizer: strings of its added tokens become those tokens. Texts that hold one are encoded whole.
+Without it, ``pack`` takes such strings as ordinary text.
+
 Defined results: null and empty text is the end id alone; repeated rows are packed each; rows with
 a null id share a block key but are packed all the same; other columns are ignored; an empty table
 gives an empty result.
@@ -47,7 +51,7 @@ class WordTokenizer:
     and marks at a word's end are words of their own. New words are encoded many at a time with the
     vocabulary's end symbol between them, which tells where one word's ids end."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -58,6 +62,12 @@ class WordTokenizer:
         self.plain.encode_special_tokens = True  # special strings in a text are ordinary text
         self.between = self.joint.token_to_id(SEPARATOR)
         self.seen: dict[bytes, bytes] = {}
+        self.added = list(self.joint.get_added_tokens_decoder().values()) if added_tokens else []
+
+    def holds_added(self, text: str) -> bool:
+        """Whether a text holds the string of an added token, in the form the tokenizer looks for it."""
+        norm = self.joint.normalizer
+        return any(a.content in (norm.normalize_str(text) if a.normalized and norm else text) for a in self.added)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """ids of each word, without the cache."""
@@ -79,7 +89,13 @@ class WordTokenizer:
         return out
 
     def ids(self, texts) -> list[bytes]:
-        coded = [(t or "").encode() for t in texts]
+        whole = {k: np.array(self.joint.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                 for k, t in enumerate(texts) if self.added and t and self.holds_added(t)}
+        coded = ["" if k in whole else t or "" for k, t in enumerate(texts)]
+        return [whole.get(k, raw) for k, raw in enumerate(self.by_word(coded))]
+
+    def by_word(self, texts) -> list[bytes]:
+        coded = [t.encode() for t in texts]
         lists = [(raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split() for raw in coded]
         if len(self.seen) > CACHE:
             self.seen = {}
@@ -98,13 +114,13 @@ def _body(word: bytes) -> int:
 
 
 #: one tokenizer and cache per vocabulary and Python worker; they outlive a task where workers are reused
-_TOKENIZERS: dict[str | None, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str | None, bool], WordTokenizer] = {}
 
 
-def tokenizer(path: str | None) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer(path: str | None, added_tokens: bool = False) -> WordTokenizer:
+    if (path, added_tokens) not in _TOKENIZERS:
+        _TOKENIZERS[path, added_tokens] = WordTokenizer(path, added_tokens)
+    return _TOKENIZERS[path, added_tokens]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -114,7 +130,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None,
-           end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+           end_id: int = END_ID, capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: one row per piece."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -124,7 +140,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         from labelops.llm import packing
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = packing.tokenizer(vocab_path)
+        tok = packing.tokenizer(vocab_path, added_tokens)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k in range(0, len(ids), 256):
@@ -143,11 +159,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None,
-         end_id: int = END_ID, capacity: int = CAPACITY, per_block: int = 20_000) -> DataFrame:
+         end_id: int = END_ID, capacity: int = CAPACITY, per_block: int = 20_000, added_tokens: bool = False) -> DataFrame:
     """The pieces with their sequence_id and offset. ``capacity`` is a power of two."""
     ship_package(docs.sparkSession)
     blocks = blocks_for(docs.count(), per_block)
-    rows = pieces(docs, id_col, text_col, vocab_path, end_id, capacity)
+    rows = pieces(docs, id_col, text_col, vocab_path, end_id, capacity, added_tokens)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     group = Window.partitionBy("block", "length")
     rows = rows.withColumn("n", F.count("*").over(group)).withColumn(

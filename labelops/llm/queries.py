@@ -38,7 +38,7 @@ def op6_suffixdedup(spark, d):
 
 
 def op7_packing(spark, d):
-    return packing.pack(table(spark, d, "documents"))
+    return packing.pack(table(spark, d, "documents"), added_tokens=True)
 
 
 def op8_decontaminate(spark, d):

@@ -68,3 +68,18 @@ def test_words_spell_whole_texts():
     for text, got in zip(texts, words.ids(texts)):
         want = words.plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
+
+
+def test_added_tokens_of_the_vocabulary(spark, tok, tmp_path):
+    """The registered query and the pipeline give the ids of the unmodified tokenizer."""
+    import corpus_pipeline
+    from labelops.llm.queries import op7_packing
+
+    texts = ["a <|endoftext|> b", "A<|startoftext|>b.<|endoftext|>", "a <|ENDOFTEXT|> b <|", "it's 12 #! plain", None, "<|endoftext|>",
+             "é\u0301 İ\x1cc <|endoftext|>\u3000x"]
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check(op7_packing(spark, str(tmp_path)).collect(), docs, tok)
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    check(corpus_pipeline.pack(spark, df, str(tmp_path)).collect(), docs, tok)
