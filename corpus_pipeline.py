@@ -6,13 +6,13 @@ written as Parquet and reread. All but the last return the columns of ``document
 
 Defined results: documents whose language cannot be told (null or blank texts, texts without a
 letter, a posterior under one half) go at the first stage; documents without an id pass the first
-two stages and go at the SimHash stage, since they cannot stand for a group; rows that repeat an id
-count as one document there; an empty table gives an empty result at every stage.
+two stages and go at the SimHash stage, since they do not stand for a group there; rows with different
+texts under one id are different documents, equal rows count as one; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelops.llm import decontaminate, langid, linededup, packing, simhash
@@ -37,12 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of linked fingerprints."""
-    groups = simhash.near_dups(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return out.withColumn("rank of the row", F.row_number().over(one)).filter("`rank of the row` = 1").select(*docs.columns)
+    """Keep the row with the smallest id of each group of linked fingerprints."""
+    return simhash.without_near_dups(docs).filter("doc_id IS NOT NULL")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as E
 import corpus_pipeline as C
-from labelops.llm import decontaminate, langid
+from labelops.llm import decontaminate, langid, simhash
 from test_decontaminate import brute as brute_contamination
 from test_linededup import brute as brute_lines
 from test_linededup import words as line_words
@@ -53,6 +53,16 @@ def test_one_of_each_group(stages):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_rows_under_one_id_stand_for_themselves(spark):
+    t = [" ".join(f"{w}{k}" for w in "the quick brown fox jumps over a lazy dog".split()) for k in range(6)]
+    rows = [(1, t[0]), (2, t[1]), (2, t[0]), (2, t[2]), (None, t[3]), (None, t[3]), (None, t[4]), (None, t[1]), (3, t[5]), (3, t[5])]
+    df = spark.createDataFrame([(i, x, k) for k, (i, x) in enumerate(rows)], "doc_id long, text string, n int")
+    want = [("1", t[0]), ("2", t[1]), ("2", t[2]), ("3", t[5])]
+    for out, more in ((C.simhash_dedup(spark, df, SF), []), (simhash.without_near_dups(df), [("None", t[3]), ("None", t[4])])):
+        assert out.columns == df.columns
+        assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == sorted(want + more)
+
+
 def test_contaminated_go(spark, stages):
     before = [r.asDict() for r in stages[3].collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
