@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (decontaminate, langid, linededup, packing, quality, sharding, simhash, suffixdedup, tokencount,
-               toxicity)
+from . import (decontaminate, langid, linededup, packing, phrases, quality, sharding, simhash, suffixdedup,
+               tokencount, toxicity)
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_langid(spark, d):
     return out.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrases(spark, d):
+    return phrases.collocations(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_linededup": op2_linededup,
@@ -68,7 +72,43 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
+    "op11_phrases": op11_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_phrases": """
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS f
+  FROM starts, range(1, 6) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM grams WHERE k > 1 AND f >= 100),
+kept AS (
+  SELECT * FROM cand c WHERE NOT EXISTS (
+    SELECT 1 FROM cand d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.f >= 100 * c.f
+      AND contains(' ' || d.gram || ' ', ' ' || c.gram || ' '))),
+cuts AS (
+  SELECT lang, gram, f, c AS cut_at, array_to_string(string_split(gram, ' ')[1:c], ' ') AS first,
+         array_to_string(string_split(gram, ' ')[c + 1:], ' ') AS rest
+  FROM kept, range(1, 5) t(c) WHERE c < k),
+scored AS (
+  SELECT cuts.lang, cuts.gram, cuts.f AS a, cut_at, x.f AS l, y.f AS r, total.n,
+         (1000::HUGEINT * cuts.f * total.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN grams x ON x.lang = cuts.lang AND x.gram = first
+            JOIN grams y ON y.lang = cuts.lang AND y.gram = rest
+            JOIN total ON total.lang = cuts.lang),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut_at) AS cut_rank FROM scored),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram COLLATE "binary") AS rank
+  FROM best WHERE cut_rank = 1)
+SELECT lang, rank, gram AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+""",
+}
