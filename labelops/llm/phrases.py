@@ -139,14 +139,24 @@ def _summed(cells, counts):
     return c[at], np.add.reduceat(k, at) if len(at) else k
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """16-bit numbers, low bytes first, then the high bytes, which are mostly zero and compress."""
+    return x.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _from_planes(value) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(value.as_buffer(), np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
 def _cell_rows(cells, counts, bits: int, support: int) -> pa.RecordBatch:
     c, k = _summed(cells, counts)
     chunk, at = np.unique(c >> CHUNK_BITS, return_index=True)
     cut = list(zip(at, [*at[1:], len(c)]))
-    low, k = (c & ((1 << CHUNK_BITS) - 1)).astype(np.uint16), np.minimum(k, support).astype(np.uint16)
+    low, k = (c & ((1 << CHUNK_BITS) - 1)).astype(np.uint16), np.minimum(k, min(support, 65535)).astype(np.uint16)
     return pa.RecordBatch.from_arrays(
         [pa.array(chunk.astype(np.int32)), pa.nulls(len(cut), pa.string()), pa.nulls(len(cut), pa.int64()),
-         pa.array([low[s:e].tobytes() for s, e in cut], pa.binary()), pa.array([k[s:e].tobytes() for s, e in cut], pa.binary())],
+         pa.array([_planes(np.diff(low[s:e], prepend=np.uint16(0))) for s, e in cut], pa.binary()),
+         pa.array([_planes(k[s:e]) for s, e in cut], pa.binary())],
         names=["chunk", "lang", "n", "offsets", "counts"])
 
 
@@ -155,8 +165,8 @@ def frequent_cells(support: int):
     def run(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << CHUNK_BITS, np.int64)
         for off, k in zip(table["offsets"], table["counts"]):
-            np.add.at(total, np.frombuffer(off.as_buffer(), np.uint16), np.frombuffer(k.as_buffer(), np.uint16))
-        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(total >= support).tobytes()], pa.binary())})
+            total[np.cumsum(_from_planes(off), dtype=np.int64)] += _from_planes(k)  # offsets of a row are distinct
+        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(total >= min(support, 65535)).tobytes()], pa.binary())})
 
     return run
 
