@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (decontaminate, langid, linededup, packing, phrases, quality, sharding, simhash, suffixdedup,
-               tokencount, toxicity)
+from . import (decontaminate, langid, linededup, packing, phrases, quality, sharding, simhash, spelling,
+               suffixdedup, tokencount, toxicity)
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_phrases(spark, d):
     return phrases.collocations(table(spark, d, "documents"))
 
 
+def op13_spelling(spark, d):
+    return spelling.variants(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_linededup": op2_linededup,
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
     "op11_phrases": op11_phrases,
+    "op13_spelling": op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
