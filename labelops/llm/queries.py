@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (decontaminate, langid, linededup, packing, phrases, quality, sharding, simhash, spelling,
+from . import (covertree, decontaminate, langid, linededup, packing, phrases, quality, sharding, simhash, spelling,
                suffixdedup, tokencount, toxicity)
 from .common import table
 
@@ -61,6 +61,10 @@ def op11_phrases(spark, d):
     return phrases.collocations(table(spark, d, "documents"))
 
 
+def op12_covertree(spark, d):
+    return covertree.link_counts(table(spark, d, "embeddings"))
+
+
 def op13_spelling(spark, d):
     return spelling.variants(table(spark, d, "documents"))
 
@@ -77,11 +81,28 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
     "op11_phrases": op11_phrases,
+    "op12_covertree": op12_covertree,
     "op13_spelling": op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
+    "op12_covertree": """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON pairs.u = reach.v),
+least AS (SELECT u, min(v) AS c FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least.c AS component_id, e.vec_id = least.c AS kept
+FROM embeddings e JOIN least ON least.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+""",
     "op11_phrases": """
 WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang,
