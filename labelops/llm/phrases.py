@@ -2,17 +2,18 @@
 
 Texts are cut into pieces at punctuation and line ends, pieces into words. Everything is per language.
 
-1. **Pair filter.** A phrase stands 100 times only if each of its neighbouring word pairs does. Pairs
-   (and words) are counted in a table of hash cells, whose size follows the corpus up to ``CELL_BITS``;
-   the cells that reach the support make a bitmap of at most 32 MB, which is broadcast. A cell may
-   hold strangers, so it can let a rare pair through, but never stops a frequent one. Pieces fall into
-   segments at the pairs that it stops. All words of all texts go into these counts.
-2. **Graph.** Nodes are 4-grams, edges the 5-grams between overlapping nodes, weighted by their
-   occurrences in segments: the only grams counted from text, besides each segment's last 4, 3, 2
-   words and word. They are summed per slice of text in numpy, then by Spark with map-side combine, so
-   a passage in a third of the corpus is one row per slice.
-3. **Shorter counts.** A node's count is the flow along its outgoing edges plus the segments that end in
-   it; the same rule takes 4-grams to 3-grams, and so on down to words.
+1. **Filter.** A phrase stands 100 times only if each pair and triple of neighbouring words in it does. Words
+   and pairs, then the triples of open pairs, are counted in a table of hash cells, whose size follows
+   the corpus up to ``CELL_BITS``; the cells that reach the support make a bitmap of at most 32 MB,
+   which is broadcast. A cell may hold strangers, so it can leave a rare gram open, but never stops a
+   frequent one. All words of all texts go into these counts.
+2. **Graph.** Nodes are 4-grams, edges the open 5-grams between overlapping nodes, weighted by their
+   occurrences. Besides these, only the ends are counted from text: the places where an open gram of
+   1 to 4 words is followed by a piece's end or by a word that closes it. Counts are summed per slice of
+   text in numpy, then by Spark with map-side combine, so a passage in a third of the corpus is one
+   row per slice.
+3. **Shorter counts.** A node's count is the flow along its outgoing edges plus the ends in it; the same
+   rule takes 4-grams to 3-grams, and so on down to words.
 4. **Compaction.** A node whose count equals one incoming and one outgoing edge is passed through by
    every occurrence. Such unary paths are joined into one row by pointer doubling (the rounds follow
    the logarithm of the longest path; a cycle would need an endless text). Paths give the 4-grams
@@ -90,34 +91,67 @@ def token_slices(batches, most: int = PART_BYTES):
 
 
 def _cells(lang: str, words: list[bytes], bits: int):
-    """Hash of each word in its language, and the functions that give cells of words and of pairs."""
+    """Function from token numbers at neighbouring places to hash cells of words, pairs or triples."""
     from xxhash import xxh64_intdigest
 
     seed = xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
     h = np.array([xxh64_intdigest(w, seed) for w in words], np.uint64)
     shift = np.uint64(64 - bits)
 
-    def pair(a, b):
-        x = h[a] * np.uint64(0x9E3779B97F4A7C15) + h[b]
-        return (((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
+    def cell(first, *more):
+        x = h[first]
+        for m in more:
+            x = x * np.uint64(0x9E3779B97F4A7C15) + h[m]
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x >> shift).astype(np.int64)
 
-    return (h >> shift).astype(np.int64), pair
+    return cell
+
+
+def _has(bitmap, cells: np.ndarray) -> np.ndarray:
+    bitmap = np.frombuffer(bitmap, np.uint8)
+    return (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+
+
+def open_grams(a: np.ndarray, cell, bitmaps, longest: int):
+    """For k = 1, 2, ...: whether the k-gram at each place may be frequent, as far as the bitmaps (of words and
+    pairs, then of triples) tell. ``a`` ends with ``longest`` zeros."""
+    common = np.zeros(int(a.max(initial=0)) + 1, bool)
+    common[1:] = _has(bitmaps[0], cell(np.arange(1, len(common))))
+    chains = [common[a]]
+    while len(chains) < longest:
+        k, now = len(chains) + 1, chains[-1]
+        follow = np.zeros(len(a), bool)
+        follow[:-1] = now[:-1] & now[1:]
+        if k - 2 < len(bitmaps):
+            at = np.flatnonzero(follow)
+            follow[at] = _has(bitmaps[k - 2], cell(*(a[at + j] for j in range(k))))
+        chains.append(follow)
+    return chains
 
 
 CELLS = "chunk int, lang string, n long, offsets binary, counts binary"
 
 
-def cell_counts(bits: int, support: int, part_bytes: int = PART_BYTES):
-    """Rows of two kinds: cells of words and pairs with counts (up to the support), by chunk; words per language."""
+def cell_counts(bits: int, support: int, part_bytes: int = PART_BYTES, shared=()):
+    """Rows of two kinds: cells with counts (up to the support), by chunk; words per language. Cells of words
+    and pairs if no bitmap is ``shared``, else of the triples that the bitmap of pairs leaves open."""
     def run(batches):
         n: dict[str, int] = defaultdict(int)
         cells, counts = [], []
+        bitmaps = [s.value for s in shared]
         for lang, words, a in token_slices(batches, part_bytes):
-            of_word, pair = _cells(lang, words, bits)
-            live = a[a > 0]
-            n[lang] += len(live)
-            both = np.flatnonzero((a[:-1] > 0) & (a[1:] > 0))
-            c, k = np.unique(np.concatenate([of_word[live], pair(a[both], a[both + 1])]), return_counts=True)
+            cell = _cells(lang, words, bits)
+            if bitmaps:
+                pair = open_grams(a, cell, bitmaps, 2)[1]
+                at = np.flatnonzero(pair[:-1] & pair[1:])
+                here = cell(a[at], a[at + 1], a[at + 2])
+            else:
+                live = a[a > 0]
+                n[lang] += len(live)
+                both = np.flatnonzero((a[:-1] > 0) & (a[1:] > 0))
+                here = np.concatenate([cell(live), cell(a[both], a[both + 1])])
+            c, k = np.unique(here, return_counts=True)
             cells.append(c)
             counts.append(k)
             if sum(map(len, cells)) > CELLS_HELD:
@@ -171,36 +205,17 @@ def frequent_cells(support: int):
     return run
 
 
-def _has(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
-
-
-def gram_counts(bitmap_of, bits: int, longest: int, part_bytes: int = PART_BYTES):
-    """Per slice: (lang, k, gram, n) of edges (k = longest) and of segment ends (k < longest)."""
+def gram_counts(shared, bits: int, longest: int, part_bytes: int = PART_BYTES):
+    """Per slice: (lang, k, gram, n) of edges (k = longest) and of the shorter open grams that no open gram extends."""
     def run(batches):
-        bitmap = np.frombuffer(bitmap_of.value, np.uint8)
+        bitmaps = [s.value for s in shared]
         for lang, words, a in token_slices(batches, part_bytes):
             a = np.concatenate([a, np.zeros(longest, np.int64)])
-            of_word, pair = _cells(lang, words, bits)
-            common = _has(bitmap, of_word)
-            common[0] = False
-            maybe = common[a]
-            link = np.zeros(len(a), bool)  # this word and the next are a pair that may be frequent
-            at = np.flatnonzero(maybe[:-1] & maybe[1:])
-            link[at] = _has(bitmap, pair(a[at], a[at + 1]))
-            chain, out = maybe, []
-            for k in range(1, longest + 1):
-                if k == longest:
-                    at = np.flatnonzero(chain)
-                else:
-                    last = np.zeros(len(a), bool)
-                    last[:len(a) - k + 1] = ~link[k - 1:]
-                    at = np.flatnonzero(chain & last)
-                grams, n = _distinct(a, at, k, words)
+            chains, out = open_grams(a, _cells(lang, words, bits), bitmaps, longest), []
+            for k, chain in enumerate(chains, 1):
+                ends = chain if k == longest else chain & ~chains[k]
+                grams, n = _distinct(a, np.flatnonzero(ends), k, words)
                 out.append((np.full(len(n), k, np.int32), grams, n))
-                follow = np.zeros(len(a), bool)
-                follow[:len(a) - k + 1] = link[k - 1:]
-                chain = chain & follow
             ks, grams, n = np.concatenate([o[0] for o in out]), [g for o in out for g in o[1]], np.concatenate([o[2] for o in out])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(ks), pa.array(grams, pa.binary()),
                                               pa.array(n, pa.int64())], names=["lang", "k", "gram", "n"])
@@ -261,21 +276,24 @@ def gram_table(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     if cell_bits is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         cell_bits = min(CELL_BITS, max(CHUNK_BITS, (size // 24).bit_length()))
-    rows.mapInArrow(cell_counts(cell_bits, support, part_bytes), CELLS).write.parquet(f"{place}/cells")
-    cells = spark.read.schema(CELLS).parquet(f"{place}/cells")
-    total = cells.filter("chunk IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     width = 1 << (CHUNK_BITS - 3)
-    bitmap = bytearray(max(width, 1 << max(0, cell_bits - 3)))
-    for r in (cells.filter("chunk IS NOT NULL").select("chunk", "offsets", "counts").groupBy("chunk")
-              .applyInArrow(frequent_cells(support), "chunk int, bits binary").collect()):  # the bitmap: 32 MB at most
-        bitmap[r.chunk * width:(r.chunk + 1) * width] = r.bits
-    shared = spark.sparkContext.broadcast(bytes(bitmap))
+    shared = []
+    for step in ("pairs", "triples")[:longest - 1]:
+        rows.mapInArrow(cell_counts(cell_bits, support, part_bytes, list(shared)), CELLS).write.parquet(f"{place}/{step}")
+        cells = spark.read.schema(CELLS).parquet(f"{place}/{step}")
+        bitmap = bytearray(max(width, 1 << max(0, cell_bits - 3)))
+        for r in (cells.filter("chunk IS NOT NULL").select("chunk", "offsets", "counts").groupBy("chunk")
+                  .applyInArrow(frequent_cells(support), "chunk int, bits binary").collect()):  # 32 MB at most
+            bitmap[r.chunk * width:(r.chunk + 1) * width] = r.bits
+        shared.append(spark.sparkContext.broadcast(bytes(bitmap)))
+    total = spark.read.schema(CELLS).parquet(f"{place}/pairs").filter("chunk IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     (rows.mapInArrow(gram_counts(shared, cell_bits, longest, part_bytes), "lang string, k int, gram binary, n long")
      .withColumn("gram", F.col("gram").cast("string")).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
      .write.partitionBy("k").parquet(f"{place}/counted"))
-    shared.unpersist()
+    for s in shared:
+        s.unpersist()
     counted = spark.read.schema("lang string, gram string, n long, k int").parquet(f"{place}/counted")
-    for k in range(longest, 0, -1):  # node flow plus the segments that end here
+    for k in range(longest, 0, -1):  # node flow plus the ends here
         level = counted.filter(F.col("k") == k).select("lang", "gram", "n")
         if k < longest:
             above = spark.read.schema("lang string, gram string, n long").parquet(f"{place}/k={k + 1}")
