@@ -48,13 +48,22 @@ PROMPT_FOOTER = (
 )
 NUMBER_WORDS = {2: "two", 3: "three", 4: "four", 5: "five", 6: "six", 7: "seven", 8: "eight"}
 
-# Strict flat JSON object of string keys to string values (Python json.loads accepts
-# exactly these bodies as a str->str dict); S is a JSON string (no raw control characters, only
-# the escapes JSON has), J optional JSON blanks.
-_C = r'[^"\\\x00-\x1F]*'
-_S = rf'"{_C}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_C})*"'
-_J = r"[ \t\r\n]*"
-STRICT_OBJECT = rf"^{_J}\{{{_J}(?:{_S}{_J}:{_J}{_S}{_J}(?:,{_J}{_S}{_J}:{_J}{_S}{_J})*)?\}}{_J}\z"
+
+
+def _strict_object(all_: str) -> str:
+    """Pattern of a flat JSON object of string keys to string values (Python json.loads accepts
+    exactly these bodies as a str->str dict). ``all_`` is the repetition used throughout: the
+    grammar is deterministic, so giving nothing back changes no verdict."""
+    chars = rf'[^"\\\x00-\x1F]{all_}'  # no raw control characters, only the escapes JSON has
+    string = rf'"{chars}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){chars}){all_}"'
+    blank = rf"[ \t\r\n]{all_}"
+    entry = f"{string}{blank}:{blank}{string}{blank}"
+    return rf"^{blank}\{{{blank}(?:{entry}(?:,{blank}{entry}){all_})?\}}{blank}\z"
+
+
+STRICT_OBJECT = _strict_object("*")  # for engines whose patterns are automata
+# possessive: Java matches such repetitions in a loop, others by one stack frame per repetition
+LINEAR_STRICT_OBJECT = _strict_object("*+")
 GREEDY_OBJECT = r"(\{[\s\S]*\})"
 
 
@@ -164,17 +173,20 @@ def parse_body(body: Column, valid: Sequence[str], extract: bool = False) -> Col
     """TXT-2 for one body: ``struct(usable, labels array<struct<key, label>>)``.
 
     usable = the (optionally extracted) body is a flat JSON object of strings; labels keep
-    the last value per key, lower-cased, and only if it is a valid label.
+    the last value per key, lower-cased, and only if it is a valid label. Time and stack do not
+    depend on the number of entries or escapes other than by one sort.
     """
     b = F.regexp_extract(body, GREEDY_OBJECT, 1) if extract else body
-    usable = F.coalesce(b.rlike(STRICT_OBJECT), F.lit(False))
+    usable = F.coalesce(b.rlike(LINEAR_STRICT_OBJECT), F.lit(False))
     entries = F.map_entries(F.from_json(b, "map<string,string>"))
-    # duplicate keys: keep the entry with no later entry of the same key
-    last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))),
-        lambda later: later["key"] == e["key"]))
-    labelled = F.transform(last, lambda e: F.struct(e["key"].alias("key"), F.lower(e["value"]).alias("label")))
-    kept = F.filter(labelled, lambda e: e["label"].isin(list(valid)))
+    # duplicate keys: sorted by key and last place first, the first of each key stays
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(
+        e["key"].alias("key"), (-i).alias("place"), e["value"].alias("value"))))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("struct<key:string,place:int,value:string>")), placed), 1, F.size(placed))
+    last = F.zip_with(placed, before, lambda e, b4: F.when(~e["key"].eqNullSafe(b4["key"]), F.struct(
+        (-e["place"]).alias("place"), e["key"].alias("key"), F.lower(e["value"]).alias("label"))))
+    kept = F.filter(last, lambda e: e.isNotNull() & e["label"].isin(list(valid)))
+    kept = F.transform(F.array_sort(kept), lambda e: F.struct(e["key"].alias("key"), e["label"].alias("label")))
     empty = F.array().cast("array<struct<key:string,label:string>>")
     return F.struct(usable.alias("usable"), F.when(usable, kept).otherwise(empty).alias("labels"))
 
