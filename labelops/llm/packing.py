@@ -23,6 +23,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -36,10 +37,11 @@ from .common import blocks_for
 
 CAPACITY = 4096
 END_ID = 2
-CACHE = 1_000_000
+CACHE = 250_000  # words in each half of a worker's cache
 #: a special token of the vocabulary
 SEPARATOR = "<|endoftext|>"
 TOGETHER = 200
+LETTERS_TOGETHER = 1000
 MARKS = b",.;:!?"
 
 
@@ -48,8 +50,9 @@ class WordTokenizer:
 
     The vocabulary's rules lower-case, split at white space and split a letter from the mark after
     it. So A-Z are lower-cased first (not where combining marks stand, which NFC joins by case),
-    and marks at a word's end are words of their own. New words are encoded many at a time with the
-    vocabulary's end symbol between them, which tells where one word's ids end."""
+    and marks at a word's end are words of their own. New words are encoded many at a time: those of
+    letters alone with a space between them, as tokens that end a word tell where one word's ids end;
+    others with the vocabulary's end symbol between them."""
 
     def __init__(self, path: str | None = None, added_tokens: bool = False):
         from tokenizers import Tokenizer
@@ -58,12 +61,25 @@ class WordTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.joint, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.path, self.joint = path, Tokenizer.from_file(path)
         self.between = self.joint.token_to_id(SEPARATOR)
+        vocab = self.joint.get_vocab()
+        self.final = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens that end a word
+        suffix = getattr(self.joint.model, "end_of_word_suffix", None)
+        self.final[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.added = list(self.joint.get_added_tokens_decoder().values()) if added_tokens else []
 
+    @cached_property
+    def plain(self):
+        """The same tokenizer, for which special strings in a text are ordinary text; rarely needed."""
+        from tokenizers import Tokenizer
+
+        plain = Tokenizer.from_file(self.path)
+        plain.encode_special_tokens = True
+        return plain
+
     def holds_added(self, text: str) -> bool:
         """Whether a text holds the string of an added token, in the form the tokenizer looks for it."""
         norm = self.joint.normalizer
@@ -71,23 +87,45 @@ class WordTokenizer:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """ids of each word, without the cache."""
-        out: list[bytes] = []
-        for k in range(0, len(words), TOGETHER):
-            part = [w.decode() for w in words[k:k + TOGETHER]]
-            text = "".join([w + SEPARATOR for w in part])
-            ids, cut = np.zeros(0, "<u4"), np.zeros(0, int)
-            if self.between is not None and text.count("<|") == len(part):
-                ids = np.array(self.joint.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                cut = np.flatnonzero(ids == self.between)
-            if len(cut) == len(part):
-                raw, at = ids.tobytes(), 0
-                for end in cut.tolist():
-                    out.append(raw[4 * at:4 * end])
-                    at = end + 1
-            else:  # a special string in a word, or a vocabulary without the symbol
-                out += [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch_fast(part, add_special_tokens=False)]
+        texts = [w.decode() for w in words]
+        out: list[bytes] = [b""] * len(words)
+        letters = [k for k, t in enumerate(texts) if t.isalpha()] if self.final.any() else []
+        other = sorted(set(range(len(words))).difference(letters))
+        for at in range(0, len(letters), LETTERS_TOGETHER):
+            part = letters[at:at + LETTERS_TOGETHER]
+            raw = self._letter_words([texts[k] for k in part])
+            if raw is None:
+                other += part
+            else:
+                for k, r in zip(part, raw):
+                    out[k] = r
+        for at in range(0, len(other), TOGETHER):
+            part = other[at:at + TOGETHER]
+            for k, r in zip(part, self._any_words([texts[k] for k in part])):
+                out[k] = r
         return out
 
+    def _letter_words(self, part: list[str]) -> list[bytes] | None:
+        """Words of letters alone, with a space between: a token of a word's end ends each. None if that fails."""
+        ids = np.array(self.joint.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(self.final[ids]) + 1
+        if len(cut) != len(part) or cut[-1] != len(ids):
+            return None
+        raw, ends = ids.tobytes(), (4 * cut).tolist()
+        return [raw[s:e] for s, e in zip([0, *ends], ends)]
+
+    def _any_words(self, part: list[str]) -> list[bytes]:
+        text = "".join([w + SEPARATOR for w in part])
+        ids, cut = np.zeros(0, "<u4"), np.zeros(0, int)
+        if self.between is not None and text.count("<|") == len(part):
+            ids = np.array(self.joint.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == self.between)
+        if len(cut) == len(part):
+            raw, ends = ids.tobytes(), (4 * cut).tolist()
+            return [raw[s:e] for s, e in zip([0, *(e + 4 for e in ends)], ends)]
+        # a special string in a word, or a vocabulary without the symbol
+        return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch_fast(part, add_special_tokens=False)]
+
     def ids(self, texts) -> list[bytes]:
         whole = {k: np.array(self.joint.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
                  for k, t in enumerate(texts) if self.added and t and self.holds_added(t)}
@@ -97,14 +135,18 @@ class WordTokenizer:
     def by_word(self, texts) -> list[bytes]:
         coded = [t.encode() for t in texts]
         lists = [(raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split() for raw in coded]
-        if len(self.seen) > CACHE:
-            self.seen = {}
-        seen = self.seen
-        cuts = {w: _body(w) for w in {w for ws in lists for w in ws} if w not in seen}
-        new = [w for w in {w[:n] for w, n in cuts.items()} | {w[n:] for w, n in cuts.items() if n < len(w)} if w not in seen]
+        if len(self.seen) > CACHE:  # words in use come back from the older half
+            self.older, self.seen = self.seen, {}
+        seen, older = self.seen, self.older
+        fresh = set().union(*lists).difference(seen)
+        back = fresh.intersection(older)
+        seen.update((w, older[w]) for w in back)
+        fresh -= back
+        cuts = {w: n for w in fresh if w[-1] in MARKS and (n := _body(w)) < len(w)}
+        new = list(fresh.difference(cuts).union((w[:n] for w, n in cuts.items()), (w[n:] for w, n in cuts.items())).difference(seen))
         seen.update(zip(new, self.encode(new)))
-        seen.update((w, seen[w[:n]] + seen[w[n:]]) for w, n in cuts.items() if n < len(w))
-        return [b"".join([seen[w] for w in ws]) for ws in lists]
+        seen.update((w, seen[w[:n]] + seen[w[n:]]) for w, n in cuts.items())
+        return [b"".join(map(seen.__getitem__, ws)) for ws in lists]
 
 
 def _body(word: bytes) -> int:
