@@ -60,3 +60,58 @@ def test_held_out_accuracy_and_odd_rows(docs, rows):
 def test_nothing_to_learn_and_empty(docs, empty):
     assert {r["lang_pred"] for r in I.identify(docs, empty).collect()} == {"und"}
     assert I.identify(empty, empty).collect() == []
+
+
+def test_long_runs_are_whole():
+    """Runs of 100 letters and more: the sum over all segmentations, also across any cut."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "bab", "abababababab"]
+    rng = np.random.default_rng(3)
+    prob = np.append(rng.random((len(pieces) + 1, 2)), [[0, 0]], axis=0)
+    prob /= prob.sum(axis=0)
+    s, at = I.Scorer(["x", "y"], pieces, prob), {p: i for i, p in enumerate(pieces)}
+    for n in (31, 32, 33, 100, 700):
+        w = "▁" + "".join(random.Random(n).choices("ababc", k=n))
+        for lang in (0, 1):
+            alpha = [0.0]  # exact logarithms by Python's own sums
+            for j in range(1, len(w) + 1):
+                terms = []
+                for i in range(max(0, j - 13), j):
+                    k = at.get(w[i:j], len(pieces) if j == i + 1 else None)
+                    if k is not None:
+                        terms.append(alpha[i] + math.log(prob[k, lang]))
+                top = max(terms)
+                alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            assert math.isclose(s.total([w])[lang], alpha[-1], rel_tol=1e-9)
+
+
+def test_long_words_count_in_the_fit():
+    """Forward-backward in logarithms agrees with the plain one on a word that both can take."""
+    pieces, w = ["▁", "▁a", "a", "b", "ab", "ba"], "▁" + "abbab" * 5
+    rng = np.random.default_rng(5)
+    prob = np.append(rng.random(len(pieces) + 1), 0)
+    lattice = I.Lattice(pieces)
+    spans, found = lattice.edges([w], len(w))
+    alpha, beta = lattice.forward(spans, found, len(w), prob), np.zeros((len(w) + 1, 1))
+    beta[-1], got = 1, np.zeros(len(prob))
+    for (i, j), k in reversed(list(zip(spans, found[0]))):
+        beta[i] += beta[j] * prob[k]
+    for (i, j), k in zip(spans, found[0]):
+        got[k] += (alpha[i] * prob[k] * beta[j] / alpha[-1])[0]
+    assert np.allclose(lattice.long_counts(w, I._log(prob)), got)
+    prob = I.fit_language([w * 4, "▁ab"], np.array([2.0, 3.0]), pieces)
+    assert np.isfinite(prob).all() and math.isclose(prob.sum(), 1)
+
+
+def test_parts_and_a_small_cache_change_no_score(rows, monkeypatch):
+    texts = [r["text"] for r in rows][:60] + ["", None, "12 34", "x" * 500 + " end of it"]
+    pieces = I.vocabulary()
+    prob = np.append(np.random.default_rng(2).random((len(pieces) + 1, 3)), np.zeros((1, 3)), axis=0)
+    prob /= prob.sum(axis=0)
+    whole = I.Scorer(["a", "b", "c"], pieces, prob).score(texts)
+    monkeypatch.setattr(I, "PART", 100)
+    monkeypatch.setattr(I, "CACHE", 40)
+    monkeypatch.setattr(I.parts_of, "__defaults__", (100,))
+    monkeypatch.setattr(I._slices, "__defaults__", (100,))
+    parts = I.Scorer(["a", "b", "c"], pieces, prob).score(texts)
+    assert [p[0] for p in parts] == [p[0] for p in whole]
+    assert np.allclose([p[1] for p in parts], [p[1] for p in whole])
