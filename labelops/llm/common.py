@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,32 @@ def crc_mod(c: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def row_key(id_col: str = "doc_id", text_col: str | Column = "text") -> Column:
+    """128 bits of id and text, equal for equal rows (a null is an empty string)."""
+    of = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(of(id_col), F.lit(":"), of(text_col)).cast("binary")))
+
+
 def blocks_for(n_rows: int, per_block: int) -> int:
     """Number of hash blocks that keeps a block near ``per_block`` rows at any table size."""
     return max(1, -(-n_rows // per_block))
+
+
+def freeing(run):
+    """A mapInArrow function that gives a worker's freed memory back to the system when a task ends, as
+    workers are used again and would keep the peak of every stage."""
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner

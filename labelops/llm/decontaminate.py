@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty
+from .common import ascii_lower, row_key, text_or_empty
 
 #: separators: every ASCII character that is no letter and no digit (text is lower case by then)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,10 +53,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                   window: int = WINDOW, share: int = 20, broadcast_rows: int = 200_000) -> DataFrame:
     """row (a struct of all columns of docs), n_words, n_hit, n_items, items_sha256, contaminated,
     items; one row per input row."""
-    base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"))
+    # documents meet their candidates by row, so rows without an id, or under one, do not share them
+    base = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
     text = text_or_empty(F.col(f"row.`{text_col}`"))
     windows = item_windows(items, window=window).checkpoint()
-    exploded = base.select("doc_id", F.posexplode(bench_words(text)).alias("pos", "word"))
+    exploded = base.select("key", F.posexplode(bench_words(text)).alias("pos", "word"))
 
     # 1. rarity of the benchmark's words, over all documents
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
@@ -74,14 +75,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # 3. candidate starts by position
     starts = (exploded.join(_small(anchors, broadcast_rows), "word")
               .filter(F.col("pos") >= F.col("off"))
-              .select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "len", "win"))
+              .select("key", (F.col("pos") - F.col("off")).alias("start"), "len", "win"))
     starts = starts.join(_small(windows.select("win", "len", "items"), broadcast_rows), ["win", "len"])
-    candidates = starts.groupBy("doc_id").agg(F.collect_set(F.struct("start", "len", "win", "items")).alias("cands"))
+    candidates = starts.groupBy("key").agg(F.collect_set(F.struct("start", "len", "win", "items")).alias("cands"))
 
     # 4. exact check inside the document's own words
-    joined = base.join(candidates.withColumnRenamed("doc_id", "cand_id"),
-                       F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
-    joined = joined.select("row", bench_words(text).alias("w"), "cands")
+    joined = base.join(candidates, "key", "left").select("row", bench_words(text).alias("w"), "cands")
     found = F.filter("cands", lambda c: (c["start"] + c["len"] <= F.size("w"))
                      & (F.array_join(F.slice(F.col("w"), c["start"] + 1, c["len"]), " ") == c["win"]))
     hits = joined.select("row", F.size("w").cast("long").alias("n_words"),

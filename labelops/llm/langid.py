@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from labelops.session import ship_package
 
-from .common import crc_mod
+from .common import crc_mod, freeing
 
 START = "▁"  # the vocabulary's mark of a word's start
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -311,7 +311,7 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
 
     base, at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
     kind = base.schema["row"].dataType.simpleString()
-    return base.mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    return base.mapInArrow(freeing(run), f"row {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

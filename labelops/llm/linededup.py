@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from labelops.session import scratch_dir, ship_package
 
+from .common import freeing
+
 MIN_WORDS = 8
 NO_ID = 2**63 - 1
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -72,7 +74,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                                      names=["rid", "doc", "line", "key", "n_words", "halves"])
 
-    return docs.select(*_row(id_col, text_col)).mapInArrow(run, LINE)
+    return docs.select(*_row(id_col, text_col)).mapInArrow(freeing(run), LINE)
 
 
 def _row(id_col: str, text_col: str):
@@ -228,5 +230,5 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(stay, pa.bool_())],
                                              names=["row", "new_text", "stay"])
 
-    out = row.join(gone, "rid", "left").select("row", "gone").mapInArrow(cut, f"row {kept_type}, new_text string, stay boolean")
+    out = row.join(gone, "rid", "left").select("row", "gone").mapInArrow(freeing(cut), f"row {kept_type}, new_text string, stay boolean")
     return out.filter("stay").select(*[F.col("new_text").alias(n) if n == text_col else F.col(f"row.`{n}`") for n in names])

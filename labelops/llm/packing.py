@@ -3,8 +3,8 @@
 Lengths fall into reciprocal-capacity classes: class k holds pieces that fill exactly 1/k of a
 sequence (k = 1, 2, 4, ... 4096), and a bin of class k takes exactly k pieces. A document is cut so
 that every piece has such a length: whole sequences first, then the binary digits of the rest. So a
-full bin has no padding. Bins are filled independently in each block of documents (a hash of the
-id), so there is no global order and no worker waits for another; what is left of a class at the end
+full bin has no padding. Bins are filled independently in each block of pieces (a hash of id, place
+and content, so rows without an id spread like others), so there is no global order and no worker waits for another; what is left of a class at the end
 of a block goes into bins of 2048, 1024, ... pieces' worth, powers of two again, which need no
 padding either.
 
@@ -17,7 +17,7 @@ tokenizer: strings of its added tokens become those tokens. Texts that hold one
 Without it, ``pack`` takes such strings as ordinary text.
 
 Defined results: null and empty text is the end id alone; repeated rows are packed each; rows with
-a null id share a block key but are packed all the same; other columns are ignored; an empty table
+a null id are packed like others; other columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from labelops.session import ship_package
 
-from .common import blocks_for
+from .common import blocks_for, freeing
 
 CAPACITY = 4096
 END_ID = 2
@@ -197,7 +197,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return base.mapInArrow(freeing(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None,
@@ -206,7 +206,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_
     ship_package(docs.sparkSession)
     blocks = blocks_for(docs.count(), per_block)
     rows = pieces(docs, id_col, text_col, vocab_path, end_id, capacity, added_tokens)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32"), F.lit(blocks)))
     group = Window.partitionBy("block", "length")
     rows = rows.withColumn("n", F.count("*").over(group)).withColumn(
         "i", F.row_number().over(group.orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1)

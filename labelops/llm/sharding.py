@@ -59,7 +59,8 @@ def shard_rows(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_co
     blocks = blocks_for(rows.count(), per_block * n_shards)
     rows = rows.select(
         "*", jump_shard(key, n_shards).alias("shard"), jump_shard(key, n_shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("bucket"))
+        # the shard follows the id; the bucket only spreads a shard, also under one id
+        F.pmod(F.xxhash64(key, "size", "text_crc32"), F.lit(blocks)).cast("int").alias("bucket"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     numbered = rows.withColumn("rank", F.row_number().over(inside))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

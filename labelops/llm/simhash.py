@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from labelops.session import scratch_dir, ship_package
 
+from .common import freeing, row_key
+
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
@@ -43,7 +45,6 @@ STEP = 4
 #: shingles hashed, and node pairs expanded, at a time
 HASH_CHUNK = 1 << 16
 PAIR_CHUNK = 1 << 18
-NO_ID = 2**63 - 1
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -63,12 +64,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """128 bits of id and text, equal for equal rows."""
-    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.unhex(F.md5(F.concat(of(id_col), F.lit(":"), of(text_col)).cast("binary")))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                  keyed: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long), row key if ``keyed``."""
@@ -80,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     key = [row_key(id_col, text_col).alias("key")] * keyed
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key)
-            .mapInArrow(run, "doc_id long, fp long" + ", key binary" * keyed))
+            .mapInArrow(freeing(run), "doc_id long, fp long" + ", key binary" * keyed))
 
 
 def _ranges(lo1, hi1, lo2, hi2):
@@ -250,39 +245,35 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, leaf: int, keyed: bool) -> DataFrame:
-    """The rows of ``fingerprints`` with component_id. If ``keyed``, that is a number which has nothing to do
-    with ids, so two fingerprints never meet through an id they share."""
+    """The rows of ``fingerprints`` with group, a number for each component that has nothing to do with
+    ids, so two fingerprints never meet through an id they share, and component_id, its smallest id."""
     spark = docs.sparkSession
     ship_package(spark)
     place = scratch_dir(spark, "simhash")
     fingerprints(docs, id_col, text_col, shingle, keyed).write.parquet(f"{place}/docs")
     of_doc = spark.read.parquet(f"{place}/docs")
-    fps = of_doc.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(None)).alias("first"))
-    # rows without any id still need an own node: they take numbers from the top end
-    fps = fps.select("fp", "first", F.coalesce("first", F.lit(NO_ID) - F.abs(F.xxhash64("fp") % 2**40)).alias("id"))
-    if keyed:
-        fps = fps.withColumn("id", F.monotonically_increasing_id())
-    fps.write.parquet(f"{place}/fps")
+    (of_doc.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id())
+     .write.parquet(f"{place}/fps"))
     fps = spark.read.parquet(f"{place}/fps")
     roots = components(trie_links(fps.select("fp", "id"), max_bits, leaf))
-    label = (fps.join(roots, "id", "left")
-             .select("fp", F.coalesce("root", "id").alias("component_id")))
-    return of_doc.join(label, "fp")
+    label = fps.join(roots, "id", "left").select("fp", "first", F.coalesce("root", "id").alias("group"))
+    least = label.groupBy("group").agg(F.min("first").alias("component_id"))
+    return of_doc.join(label.select("fp", "group").join(least, "group"), "fp")
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
               max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits), component_id."""
     return _grouped(docs, id_col, text_col, shingle, max_bits, leaf, False).select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("component_id") < NO_ID - 2**40, F.col("component_id")).alias("component_id"))
+        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def without_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                       max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
-    """One row of docs for each component: the smallest by (id, nulls last; row key). Equal rows count as one."""
+    """One row of docs for each component: the smallest by (id, nulls last; row key). Rows with equal id and text
+    count as one, whatever their other columns."""
     rows = _grouped(docs, id_col, text_col, shingle, max_bits, leaf, True)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("first")
-    kept = rows.groupBy("component_id").agg(first).select(F.col("first.key").alias("row key"))
-    keyed = docs.withColumn("row key", row_key(id_col, text_col))
-    return keyed.join(kept, "row key", "left_semi").dropDuplicates(["row key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.groupBy("group").agg(first).select(F.col("first.key").alias("key"))
+    whole = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
+    return whole.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -188,7 +188,7 @@ def shared_by_block(blocks: int):
     def run(table: pa.Table) -> pa.Table:
         t = shared_runs(table)
         rid = t["rid"].to_numpy()
-        block = (rid.view(np.uint64) >> np.uint64(20)) % np.uint64(blocks)
+        block = _block_of(rid, blocks)
         order = np.argsort(block, kind="stable")
         used, at = np.unique(block[order], return_index=True)
         cut = list(zip(at, [*at[1:], len(order)]))
@@ -427,6 +427,44 @@ def removed_windows(table: pa.Table) -> pa.Table:
     return pa.table({"rid": pa.array(r, pa.int64()), "from": pack(a), "to": pack(z)})
 
 
+GONE = "block int, rids binary, counts binary, from binary, to binary"
+
+
+def _block_of(rid: np.ndarray, blocks: int) -> np.ndarray:
+    return (rid.view(np.uint64) >> np.uint64(20)) % np.uint64(blocks)
+
+
+def removed_by_block(blocks: int):
+    """``removed_windows`` of one bucket, packed by block of documents, as ``shared_by_block`` packs runs."""
+    def run(table: pa.Table) -> pa.Table:
+        t = removed_windows(table)
+        rid = t["rid"].to_numpy()
+        block = _block_of(rid, blocks)
+        order = np.argsort(block, kind="stable")
+        used, at = np.unique(block[order], return_index=True)
+        cut = list(zip(at, [*at[1:], len(order)]))
+        a, z = (_bytes(t[name].take(pa.array(order))) for name in ("from", "to"))
+        counts = np.array([len(x) // 4 for x in a], np.uint32)
+        flat = [[rid[order[s:e]].tobytes() for s, e in cut], [counts[s:e].tobytes() for s, e in cut],
+                [b"".join(a[s:e]) for s, e in cut], [b"".join(z[s:e]) for s, e in cut]]
+        return pa.table([pa.array(used.astype(np.int32)), *(pa.array(x, pa.binary()) for x in flat)],
+                        names=["block", "rids", "counts", "from", "to"])
+
+    return run
+
+
+def gone_by_document(table: pa.Table) -> pa.Table:
+    """Of one block, the spans that each document loses, in one row."""
+    rid = np.repeat(_joined(table, "rids", np.int64), _joined(table, "counts", np.uint32))
+    a, z = _joined(table, "from", np.uint32), _joined(table, "to", np.uint32)
+    order = np.argsort(rid, kind="stable")
+    rid, a, z = rid[order], a[order], z[order]
+    r, at = np.unique(rid, return_index=True)
+    cut = list(zip(at, [*at[1:], len(rid)]))
+    pack = lambda x: pa.array([x[s:e].tobytes() for s, e in cut], pa.binary())
+    return pa.table({"rid": pa.array(r, pa.int64()), "from": pack(a), "to": pack(z)})
+
+
 def _shards(order, keys, texts):
     """Lists of shards (lists of text numbers) in key order. Several keys share a shard; a key too
     large for one gets a list of shards of its own, to be merged."""
@@ -505,7 +543,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .groupBy("block").applyInArrow(by_document, RUNS))
     gone = (base.join(shared, "rid").select("rid", "doc_id", "text", "runs")
             .mapInArrow(piece_texts(buckets), PIECE).groupBy("bucket")
-            .applyInArrow(removed_windows, "rid long, from binary, to binary").select("rid", F.struct("from", "to").alias("span")))
+            .applyInArrow(removed_by_block(buckets), GONE).groupBy("block")
+            .applyInArrow(gone_by_document, "rid long, from binary, to binary").select("rid", F.struct("from", "to").alias("span")))
     gone = (gone.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
             .groupBy("rid").agg(F.collect_list("span").alias("spans"), F.max("whole").alias("whole")))
     out = base.join(gone, "rid", "left").select("doc_id", "text", "spans", "whole").mapInArrow(finish(keep_text), RESULT)

@@ -55,3 +55,17 @@ def test_empty_sides(spark, docs, rows, empty):
     out = contamination(docs, none).collect()
     assert len(out) == len(rows) and not any(r["contaminated"] or r["n_hit"] for r in out)
     assert contamination(empty, none).collect() == []
+
+
+def test_rows_without_an_id_or_under_one_id(spark):
+    """A third of the rows without an id, a third under one id: each row meets only its own candidates."""
+    item = " ".join(f"w{k}" for k in range(15))
+    rows = []
+    for k in range(120):
+        words_ = item.split()[:13] if k % 4 == 0 else [f"w{j}" for j in range(k % 12)]
+        rows.append({"doc_id": (None, 7, k)[k % 3], "text": " ".join([f"text{k}", *words_, "end"])})
+    df = spark.createDataFrame([(r["doc_id"], r["text"], 1) for r in rows], "doc_id long, text string, key int")
+    items = [(1, item), (2, "w3 w4")]
+    got = contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r["row"]["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == brute(rows, items)
+    assert all(r["row"]["key"] == 1 for r in got)

@@ -31,3 +31,14 @@ def test_against_published_loop(docs, rows):
 
 def test_empty(empty):
     assert shard_rows(empty).collect() == []
+
+
+def test_one_id_spreads_over_buckets(spark):
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text {k}") for k in range(300)]
+    out = shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), per_block=4)
+    got = out.collect()
+    slots = defaultdict(list)
+    for r in got:
+        assert r["shard"] == jump(r["doc_id"] or 0, 8)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == 300

@@ -76,3 +76,21 @@ def test_dense_cluster_is_split_and_linked(spark, leaf):
 
 def test_empty(empty):
     assert S.near_dups(empty).collect() == []
+
+
+def test_texts_under_one_id_do_not_join_their_groups(spark):
+    """Ids 3 and 5 share one text, 5 and 9 another: two components, as their fingerprints do not link."""
+    one, two = "alpha beta gamma delta epsilon zeta", "one two three four five six seven eight"
+    rows = [(3, one), (5, one), (5, two), (9, two), (None, "a third text of its own"), (None, "and a fourth one, also alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in S.near_dups(df).collect())
+    assert got == brute_components([(i, brute_fp(t)) for i, t in rows])
+    assert sorted((r[0], r[2]) for r in got if r[0]) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
+def test_a_third_of_the_rows_without_an_id(spark):
+    rng = random.Random(4)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(rng.choices("abcdef", k=12))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in S.near_dups(df).collect())
+    assert got == brute_components([(i, brute_fp(t)) for i, t in rows])
