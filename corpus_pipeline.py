@@ -5,9 +5,10 @@ Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; e
 written as Parquet and reread. All but the last return the columns of ``documents``.
 
 Defined results: documents whose language cannot be told (null or blank texts, texts without a
-letter, a posterior under one half) go at the first stage; documents without an id pass the first
-two stages and go at the SimHash stage, since they do not stand for a group there; rows with different
-texts under one id are different documents, equal rows count as one; an empty table gives an empty result at every stage.
+letter, a posterior under one half) go at the first stage; documents without an id are documents like others
+(as a SimHash group's representative they come after those with an id); rows with different texts under
+one id are different documents, rows with equal id and text count as one from the SimHash stage on; an
+empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest id of each group of linked fingerprints."""
-    return simhash.without_near_dups(docs).filter("doc_id IS NOT NULL")
+    return simhash.without_near_dups(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
