@@ -44,14 +44,16 @@ from labelops.session import scratch_dir, ship_package
 from .simhash import components, forest
 
 MIN_COSINE = 0.93
-CELL_BYTES = 2 << 20  # of double components in one cell
+CELL_BYTES = 8 << 20  # of double components in one cell
 SAMPLE = 1024
 FANOUT = 64
 DEPTH = 12
 SLACK = 1e-9
 FLOOR = 2.0**-12  # radius of the last level of a tree
 BATCH = 512  # candidates for a cover looked at together
-PRODUCT = 1 << 20  # node pairs measured at a time
+PRODUCT = 1 << 18  # node pairs measured at a time
+GATHER = 1 << 21  # components gathered at a time for pairs of nodes
+ROWS = 4096  # vectors compared with new centres at a time
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -79,9 +81,11 @@ def cover(x: np.ndarray, radius: float, most: int | None = None):
         if most is not None and len(centres) + len(fresh) > most:
             return None, None
         new = head[fresh]
-        d = distances(x[left], x[new])
-        best = d.argmin(axis=1)
-        hit = d[np.arange(len(left)), best] <= radius
+        best, hit = np.zeros(len(left), np.int64), np.zeros(len(left), bool)
+        for at in range(0, len(left), ROWS):
+            d = distances(x[left[at:at + ROWS]], x[new])
+            best[at:at + ROWS] = d.argmin(axis=1)
+            hit[at:at + ROWS] = d.min(axis=1) <= radius
         hit[np.searchsorted(left, new)] = True
         best[np.searchsorted(left, new)] = np.arange(len(new))
         owner[left[hit]] = best[hit] + len(centres)
@@ -161,42 +165,44 @@ def traverse(a: Tree, b: Tree, same: bool, min_cosine: float):
     """Yield arrays of node pairs (i of a, j of b) all of whose points are linked; every linked pair
     of points lies in one of them. If ``same``, a pair (i, i) stands for the pairs inside node i."""
     r = math.sqrt(2 - 2 * min_cosine)
-    stack = [(np.array([0]), np.array([0]))]
-    while stack:
-        i, j = stack.pop()
-        # single points are decided by the cosine, others by bounds
-        cos = np.einsum("ij,ij->i", a.x[a.centre[i]], b.x[b.centre[j]])
-        reach = a.radius[i] + b.radius[j]
-        one = (a.n_child[i] == 0) & (b.n_child[j] == 0)
-        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
-        own = (i == j) if same else np.zeros(len(i), bool)
-        linked = np.where(one, cos >= min_cosine, d + reach + SLACK <= r)
-        linked = np.where(own, 2 * a.radius[i] + SLACK <= r, linked) & ~(own & one)
-        if linked.any():
-            yield i[linked], j[linked]
-        open_ = ~linked & ~one & (own | (d <= r + reach + SLACK))
-        i, j, own = i[open_], j[open_], own[open_]
-        if not len(i):
-            continue
-        # open the node with the larger radius; a node with itself opens into its pairs of children
-        left = (own | (a.radius[i] >= b.radius[j])) & (a.n_child[i] > 0) | (b.n_child[j] == 0)
-        right = own | ~left
-        na, nb = np.where(left, a.n_child[i], 1), np.where(right, b.n_child[j], 1)
-        ca, cb = np.where(left, a.child[i], i), np.where(right, b.child[j], j)
-        size = na * nb
-        cost = np.cumsum(size)
-        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(cost // PRODUCT)) + 1):
-            big = part[size[part] > PRODUCT]
-            rest = part[size[part] <= PRODUCT]
-            if len(rest):
-                stack.append(_children(a, b, ca[rest], na[rest], cb[rest], nb[rest], own[rest], r))
-            for k in big:  # wide nodes: by blocks of children
-                step = max(1, PRODUCT // int(nb[k]))
-                for at in range(0, int(na[k]), step):
-                    n = min(step, int(na[k]) - at)
-                    got = _children(a, b, ca[[k]] + at, np.array([n]), cb[[k]], nb[[k]], own[[k]], r)
-                    if len(got[0]):
-                        stack.append(got)
+
+    def walk(all_i, all_j):
+        step = max(1, GATHER // a.x.shape[1])
+        for at in range(0, len(all_i), step):
+            i, j = all_i[at:at + step], all_j[at:at + step]
+            # single points are decided by the cosine, others by bounds
+            cos = np.einsum("ij,ij->i", a.x[a.centre[i]], b.x[b.centre[j]])
+            reach = a.radius[i] + b.radius[j]
+            one = (a.n_child[i] == 0) & (b.n_child[j] == 0)
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
+            own = (i == j) if same else np.zeros(len(i), bool)
+            linked = np.where(one, cos >= min_cosine, d + reach + SLACK <= r)
+            linked = np.where(own, 2 * a.radius[i] + SLACK <= r, linked) & ~(own & one)
+            if linked.any():
+                yield i[linked], j[linked]
+            open_ = ~linked & ~one & (own | (d <= r + reach + SLACK))
+            i, j, own = i[open_], j[open_], own[open_]
+            if not len(i):
+                continue
+            # open the node with the larger radius; a node with itself opens into its pairs of children
+            left = (own | (a.radius[i] >= b.radius[j])) & (a.n_child[i] > 0) | (b.n_child[j] == 0)
+            right = own | ~left
+            na, nb = np.where(left, a.n_child[i], 1), np.where(right, b.n_child[j], 1)
+            ca, cb = np.where(left, a.child[i], i), np.where(right, b.child[j], j)
+            size = na * nb
+            wide = size > PRODUCT
+            for k in np.flatnonzero(wide):  # by blocks of children
+                rows = max(1, PRODUCT // int(nb[k]))
+                for first in range(0, int(na[k]), rows):
+                    n = min(rows, int(na[k]) - first)
+                    yield from walk(*_children(a, b, ca[[k]] + first, np.array([n]), cb[[k]], nb[[k]], own[[k]], r))
+            ca, na, cb, nb, own, size = (x[~wide] for x in (ca, na, cb, nb, own, size))
+            parts = np.flatnonzero(np.diff(np.cumsum(size) // PRODUCT)) + 1
+            for part in np.split(np.arange(len(size)), parts):
+                if len(part):
+                    yield from walk(*_children(a, b, ca[part], na[part], cb[part], nb[part], own[part], r))
+
+    yield from walk(np.array([0]), np.array([0]))
 
 
 def _children(a: Tree, b: Tree, ca, na, cb, nb, own, r: float):
@@ -301,10 +307,10 @@ def _deal(near: float):
                             names=["p", "parent", "node", "centre", "distance", "weight"])
         x, c = unit(_matrix(points["vector"])), _matrix(centres["pivots"])
         best, far = np.zeros(len(x), np.int64), np.zeros(len(x))
-        for at in range(0, len(x), 8192):
-            d = distances(x[at:at + 8192], c)
-            best[at:at + 8192] = d.argmin(axis=1)
-            far[at:at + 8192] = d.min(axis=1)
+        for at in range(0, len(x), ROWS):
+            d = distances(x[at:at + ROWS], c)
+            best[at:at + ROWS] = d.argmin(axis=1)
+            far[at:at + ROWS] = d.min(axis=1)
         parent = points["node"][0].as_py()
         child = 2 * best + (far > near)
         return pa.table({"p": points["p"], "parent": pa.array([parent] * len(x)),
