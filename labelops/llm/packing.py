@@ -23,6 +23,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
+from array import array
 from functools import cached_property
 from zlib import crc32
 
@@ -38,11 +40,40 @@ from .common import blocks_for, freeing
 CAPACITY = 4096
 END_ID = 2
 CACHE = 250_000  # words in each half of a worker's cache
-#: a special token of the vocabulary
-SEPARATOR = "<|endoftext|>"
-TOGETHER = 200
-LETTERS_TOGETHER = 1000
 MARKS = b",.;:!?"
+# The splitting rules of the vocabulary under which a word of letters is one item.
+LETTER_RULE = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Character of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+BYTE_ALPHABET = _byte_alphabet()
+
+
+class Cache(dict):
+    """ids of words, computed when missing; two halves, of which the older one only gives words back."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        self[word] = ids = self.compute(word) if ids is None else ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
 
 
 class WordTokenizer:
@@ -50,9 +81,9 @@ class WordTokenizer:
 
     The vocabulary's rules lower-case, split at white space and split a letter from the mark after
     it. So A-Z are lower-cased first (not where combining marks stand, which NFC joins by case),
-    and marks at a word's end are words of their own. New words are encoded many at a time: those of
-    letters alone with a space between them, as tokens that end a word tell where one word's ids end;
-    others with the vocabulary's end symbol between them."""
+    and marks at a word's end are words of their own. A word of letters alone is one item of the
+    vocabulary's splitting rule (``LETTER_RULE``), so it goes to the merge model at once, in the
+    model's byte alphabet; other words pass the whole tokenizer."""
 
     def __init__(self, path: str | None = None, added_tokens: bool = False):
         from tokenizers import Tokenizer
@@ -62,18 +93,15 @@ class WordTokenizer:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.path, self.joint = path, Tokenizer.from_file(path)
-        self.between = self.joint.token_to_id(SEPARATOR)
-        vocab = self.joint.get_vocab()
-        self.final = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens that end a word
-        suffix = getattr(self.joint.model, "end_of_word_suffix", None)
-        self.final[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
-        self.seen: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.model, self.normalizer = self.joint.model, self.joint.normalizer
+        rules = json.loads(self.joint.to_str())["pre_tokenizer"] or {}
+        self.letter_rule = rules.get("pretokenizers") == LETTER_RULE
+        self.seen = Cache(self.word_ids)
         self.added = list(self.joint.get_added_tokens_decoder().values()) if added_tokens else []
 
     @cached_property
     def plain(self):
-        """The same tokenizer, for which special strings in a text are ordinary text; rarely needed."""
+        """The same tokenizer, for which special strings in a text are ordinary text."""
         from tokenizers import Tokenizer
 
         plain = Tokenizer.from_file(self.path)
@@ -82,71 +110,33 @@ class WordTokenizer:
 
     def holds_added(self, text: str) -> bool:
         """Whether a text holds the string of an added token, in the form the tokenizer looks for it."""
-        norm = self.joint.normalizer
+        norm = self.normalizer
         return any(a.content in (norm.normalize_str(text) if a.normalized and norm else text) for a in self.added)
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """ids of each word, without the cache."""
-        texts = [w.decode() for w in words]
-        out: list[bytes] = [b""] * len(words)
-        letters = [k for k, t in enumerate(texts) if t.isalpha()] if self.final.any() else []
-        other = sorted(set(range(len(words))).difference(letters))
-        for at in range(0, len(letters), LETTERS_TOGETHER):
-            part = letters[at:at + LETTERS_TOGETHER]
-            raw = self._letter_words([texts[k] for k in part])
-            if raw is None:
-                other += part
-            else:
-                for k, r in zip(part, raw):
-                    out[k] = r
-        for at in range(0, len(other), TOGETHER):
-            part = other[at:at + TOGETHER]
-            for k, r in zip(part, self._any_words([texts[k] for k in part])):
-                out[k] = r
-        return out
-
-    def _letter_words(self, part: list[str]) -> list[bytes] | None:
-        """Words of letters alone, with a space between: a token of a word's end ends each. None if that fails."""
-        ids = np.array(self.joint.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(self.final[ids]) + 1
-        if len(cut) != len(part) or cut[-1] != len(ids):
-            return None
-        raw, ends = ids.tobytes(), (4 * cut).tolist()
-        return [raw[s:e] for s, e in zip([0, *ends], ends)]
-
-    def _any_words(self, part: list[str]) -> list[bytes]:
-        text = "".join([w + SEPARATOR for w in part])
-        ids, cut = np.zeros(0, "<u4"), np.zeros(0, int)
-        if self.between is not None and text.count("<|") == len(part):
-            ids = np.array(self.joint.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == self.between)
-        if len(cut) == len(part):
-            raw, ends = ids.tobytes(), (4 * cut).tolist()
-            return [raw[s:e] for s, e in zip([0, *(e + 4 for e in ends)], ends)]
-        # a special string in a word, or a vocabulary without the symbol
-        return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch_fast(part, add_special_tokens=False)]
+    def word_ids(self, word: bytes) -> bytes:
+        """ids of one word, its parts by the cache."""
+        if word[-1] in MARKS and (n := _body(word)) < len(word):
+            return self.seen[word[:n]] + self.seen[word[n:]]
+        text = word.decode()
+        if self.letter_rule and text.isalpha():
+            text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+            if text.isascii():
+                return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            if text.isalpha():
+                text = text.encode().decode("latin-1").translate(BYTE_ALPHABET)
+                return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return np.array(self.plain.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts) -> list[bytes]:
         whole = {k: np.array(self.joint.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
                  for k, t in enumerate(texts) if self.added and t and self.holds_added(t)}
-        coded = ["" if k in whole else t or "" for k, t in enumerate(texts)]
-        return [whole.get(k, raw) for k, raw in enumerate(self.by_word(coded))]
-
-    def by_word(self, texts) -> list[bytes]:
-        coded = [t.encode() for t in texts]
-        lists = [(raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split() for raw in coded]
-        if len(self.seen) > CACHE:  # words in use come back from the older half
-            self.older, self.seen = self.seen, {}
-        seen, older = self.seen, self.older
-        fresh = set().union(*lists).difference(seen)
-        back = fresh.intersection(older)
-        seen.update((w, older[w]) for w in back)
-        fresh -= back
-        cuts = {w: n for w in fresh if w[-1] in MARKS and (n := _body(w)) < len(w)}
-        new = list(fresh.difference(cuts).union((w[:n] for w, n in cuts.items()), (w[n:] for w, n in cuts.items())).difference(seen))
-        seen.update(zip(new, self.encode(new)))
-        seen.update((w, seen[w[:n]] + seen[w[n:]]) for w, n in cuts.items())
-        return [b"".join(map(seen.__getitem__, ws)) for ws in lists]
+        self.seen.turn()
+        return [whole[k] if k in whole else self.by_word(t or "") for k, t in enumerate(texts)]
+
+    def by_word(self, text: str) -> bytes:
+        raw = text.encode()
+        words = (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
+        return b"".join(map(self.seen.__getitem__, words))
 
 
 def _body(word: bytes) -> int:
