@@ -21,6 +21,7 @@ from labelops.operators import compare as CP
 from labelops.operators import labels as L
 from labelops.operators import profile as P
 from labelops.operators import sample as S
+from labelops.plans import bootstrap_sql as BQ
 from labelops.plans import fixtures as X
 from labelops.plans.fixtures import (s_blank, s_in, s_norm, s_wc, sh, shk, table)
 
@@ -757,18 +758,63 @@ def q_pvalue_matrix(spark, sf):
     return CP.pvalue_matrix(q_mcnemar_exact(spark, sf), MODELS)
 
 
-# ---------------------------------------------------------------- bootstrap (multinomial on cells; no SQL twin)
+# ---------------------------------------------------------------- bootstrap (multinomial on cells, drawn in SQL)
 
-@query("bootstrap_accuracy")
+def _bootstrap_sql(*results: str) -> str:
+    """Interval rows with the number of valid samples, from draws over the normalised cells of each model."""
+    cells = f"""ncells AS (SELECT model, t AS truth, p AS pred, count(*) AS n FROM (
+  SELECT model, {s_norm('truth')} AS t, {s_norm('predicted')} AS p FROM preds_long)
+  WHERE t IN {s_in(LANGS)} AND p IN {s_in(LANGS)} GROUP BY ALL)"""
+    ctes = [PW, PL, cells, *BQ.drawn("ncells", ["model"], ["truth", "pred"]), *BQ.MEASURES,
+            "totals AS (SELECT model, sum(n)::BIGINT AS valid_samples FROM ncells GROUP BY model)"]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT * FROM (" + " UNION ALL ".join(results) + ") JOIN totals USING (model)"
+
+
+@query("bootstrap_accuracy", _bootstrap_sql(BQ.summary("accuracy", "accuracy")))
 def q_bootstrap_accuracy(spark, sf):
     return BS.bootstrap(_norm_cells(spark, sf), ["model"], n_bootstrap=1000, metrics=["accuracy"])
 
 
-@query("bootstrap_f1")
+@query("bootstrap_f1", _bootstrap_sql(BQ.summary("f1_macro", "f1_macro")))
 def q_bootstrap_f1(spark, sf):
     return BS.bootstrap(_norm_cells(spark, sf), ["model"], n_bootstrap=1000, metrics=["f1_macro"])
 
 
+@query("bootstrap_f1_weighted", _bootstrap_sql(BQ.summary("f1_weighted", "f1_weighted")))
+def q_bootstrap_f1_weighted(spark, sf):
+    return BS.bootstrap(_norm_cells(spark, sf), ["model"], metrics=["f1_weighted"])
+
+
+@query("bootstrap_kappa", _bootstrap_sql(BQ.summary(BQ.KAPPA, "kappa")))
+def q_bootstrap_kappa(spark, sf):
+    return BS.bootstrap(_norm_cells(spark, sf), ["model"], metrics=["kappa"], measure=lambda c, k: C.kappa(c, k, digits=18))
+
+
+def _paired_sql() -> str:
+    names = [f"m{i}" for i in range(len(MODELS))]
+    norm = ", ".join(f"{s_norm(chr(34) + m + chr(34))} AS m{i}" for i, m in enumerate(MODELS))
+    ok = " AND ".join(f"{c} IN {s_in(LANGS)}" for c in ["truth", *names])
+    joint = f"""joint AS (SELECT truth, {', '.join(names)}, count(*) AS n FROM (SELECT {s_norm('truth')} AS truth, {norm} FROM preds_wide)
+  WHERE {ok} GROUP BY ALL)"""
+    draws = BQ.drawn("joint", [], ["truth", *names])
+    per_model = " UNION ALL ".join(f"SELECT '{m}' AS model, replicate, truth, m{i} AS pred, sum(n) AS n FROM joint_drawn GROUP BY ALL"
+                                   for i, m in enumerate(MODELS))
+    draws[-1] = "joint_" + draws[-1]
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS model1, '{b}' AS model2, x.replicate, x.accuracy - y.accuracy AS accuracy, x.f1_macro - y.f1_macro AS f1_macro "
+        f"FROM measured x JOIN measured y USING (replicate) WHERE x.model = '{a}' AND y.model = '{b}'" for a, b in PAIRS)
+    ctes = [PW, joint, *draws, f"drawn AS ({per_model})", *BQ.MEASURES, f"pairs AS ({pairs})"]
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(
+        BQ.summary(m, m, "pairs", ("model1", "model2")) for m in ("accuracy", "f1_macro")))
+
+
+@query("bootstrap_paired", _paired_sql())
+def q_bootstrap_paired(spark, sf):
+    w = X.preds_wide(spark, sf)
+    w = w.filter(CP.valid_for_all(w, ["truth", *MODELS], LANGS))
+    return BS.paired_differences(w.select(*[L.norm_label(c).alias(c) for c in ["truth", *MODELS]]), MODELS)
+
+
 # ================================================================ annotation agreement
 
 ANN = X.SQL_ANNOTATIONS
