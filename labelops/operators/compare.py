@@ -13,7 +13,6 @@ import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +59,10 @@ def _re_escape(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?{}[]\|()" else ch for ch in s)
 
 
+ERFC_SPLIT = 2.5
+ERFC_TERMS = 80
+
+
 def require_inputs(models: Sequence[str], n_valid: int | None = None, min_rows: int = 10) -> None:
     """VAL-5: at least two models to compare and, when given, enough valid rows."""
     if len(models) < 2:
@@ -177,23 +180,29 @@ def mcnemar_exact(counts: DataFrame, digits: int = 9, alpha: float = ALPHA) -> D
 def mcnemar_chi2(counts: DataFrame, digits: int = 9, with_p: bool = False) -> DataFrame:
     """AGG-20: continuity-corrected chi-square (|b - c| - 1)^2 / (b + c), 1 degree of freedom.
 
-    ``with_p`` adds the upper-tail p = erfc(sqrt(x / 2)) through a vectorised UDF over
-    the pair rows (there are only M(M-1)/2 of them).
+    ``with_p`` adds the upper-tail p = erfc(sqrt(x / 2)), an SQL expression.
     """
     b, c = F.col("model1_only").cast("double"), F.col("model2_only").cast("double")
     stat = F.when(b + c > 0, F.pow(F.abs(b - c) - 1, 2) / (b + c))
     out = counts.withColumn("chi2_statistic", F.round(stat, digits)).withColumn("df", F.lit(1))
     if with_p:
-        out = out.withColumn("chi2_p_value", F.round(_chi2_sf1(stat), digits))
+        out = out.withColumn("chi2_p_value", F.round(erfc(F.sqrt(stat / 2)), digits))
     return out
 
 
-def _chi2_sf1(x: Column) -> Column:
-    @F.pandas_udf("double")
-    def sf(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(max(v, 0.0) / 2.0)))
+def erfc(y: Column) -> Column:
+    """Complementary error function of y >= 0.
 
-    return sf(x)
+    Below ``ERFC_SPLIT`` one minus the series e^(-y^2) * sum of 2^k y^(2k+1) / (1 * 3 * ... * (2k+1)), whose
+    terms are all positive; from there the continued fraction y + (1/2) / (y + (2/2) / (y + ...)).
+    """
+    e = F.exp(-y * y) / math.sqrt(math.pi)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(ERFC_TERMS)), F.struct(y.alias("t"), y.alias("s")),
+        lambda a, k: F.struct((a["t"] * (2 * y * y) / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * (2 * y * y) / (2 * k + 1)).alias("s")),
+        lambda a: a["s"])
+    fraction = F.aggregate(F.sequence(F.lit(ERFC_TERMS), F.lit(1), F.lit(-1)), y, lambda a, k: y + k / 2 / a)
+    return F.when(y < ERFC_SPLIT, 1 - 2 * e * series).otherwise(e / fraction)
 
 
 def pvalue_matrix(tests: DataFrame, models: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

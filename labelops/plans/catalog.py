@@ -743,11 +743,18 @@ def q_mcnemar_exact(spark, sf):
     return CP.mcnemar_exact(q_mcnemar_counts(spark, sf))
 
 
-@query("mcnemar_chi2", """SELECT *, round(CASE WHEN model1_only + model2_only > 0 THEN
-  pow(abs(model1_only - model2_only) - 1, 2) / (model1_only + model2_only) END, 9) AS chi2_statistic, 1 AS df FROM mcn""",
-       (PW, SQL_MCN))
+SQL_ERFC = f"""CASE WHEN y < {CP.ERFC_SPLIT} THEN 1 - 2 * exp(-y * y) / sqrt(pi()) * list_reduce(
+    list_prepend({{'t': y, 's': y, 'k': 0}}, list_transform(range(1, {CP.ERFC_TERMS + 1}), lambda i: {{'t': 0::DOUBLE, 's': 0::DOUBLE, 'k': i}})),
+    lambda a, b: {{'t': a.t * (2 * y * y) / (2 * b.k + 1), 's': a.s + a.t * (2 * y * y) / (2 * b.k + 1), 'k': b.k}}).s
+  ELSE exp(-y * y) / sqrt(pi()) / list_reduce(list_prepend(y, list_transform(range({CP.ERFC_TERMS}, 0, -1), lambda i: i::DOUBLE)),
+    lambda a, b: y + b / 2 / a) END"""
+
+
+@query("mcnemar_chi2", f"""SELECT * EXCLUDE (x, y), round(x, 9) AS chi2_statistic, 1 AS df, round({SQL_ERFC}, 9) AS chi2_p_value
+  FROM (SELECT *, sqrt(x / 2) AS y FROM (SELECT *, CASE WHEN model1_only + model2_only > 0 THEN
+    pow(abs(model1_only - model2_only) - 1, 2) / (model1_only + model2_only) END AS x FROM mcn))""", (PW, SQL_MCN))
 def q_mcnemar_chi2(spark, sf):
-    return CP.mcnemar_chi2(q_mcnemar_counts(spark, sf))
+    return CP.mcnemar_chi2(q_mcnemar_counts(spark, sf), with_p=True)
 
 
 @query("pvalue_matrix", "SELECT model, " + ", ".join(

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelops.operators import batches as B
 from labelops.operators import cells as C
 from labelops.operators import labels as L
+from labelops.operators import order as O
 from labelops.plans import fixtures as X
 from labelops.plans.catalog import LANGS, MODELS, _norm_cells, _preds_long, query
 from labelops.plans.fixtures import s_list, sh, table
@@ -25,13 +27,21 @@ def q_csv_roundtrip(spark, sf):
     return IO.read_csv(spark, path, "doc_id bigint, text string, lang string", row_id=None)
 
 
-@query("csv_first_in_file", "SELECT min(doc_id) AS doc_id FROM documents")
+@query("csv_first_in_file", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_order FROM documents")
 def q_csv_first_in_file(spark, sf):
-    """Row ids from file order: the first row of the single written file is the smallest doc_id."""
-    d = table(spark, sf, "documents").select("doc_id", "text").orderBy("doc_id").coalesce(1)
+    """Row ids from file order, over many files: documents are written in ranges of doc_id, one file each."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = d.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
     path = IO.write_csv(d, scratch_dir(spark, "csv1") + "/ordered.csv", bom=True)
-    r = IO.read_csv(spark, path, "doc_id bigint, text string")
-    return r.orderBy("row_id").limit(1).select("doc_id")
+    r = IO.read_csv(spark, path, "doc_id bigint, text string").select("doc_id", "row_id")
+    return B.number_rows(r, "row_id", "row_order").select("doc_id", "row_order")
+
+
+@query("sorted_by_text", "SELECT doc_id, lang, row_number() OVER (ORDER BY text NULLS FIRST, doc_id) AS position FROM documents")
+def q_sorted_by_text(spark, sf):
+    """SRT-1: position of every document in code-point order of the texts."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return O.number_sorted(d, ["text", "doc_id"]).select("doc_id", "lang", "position")
 
 
 @query("tsv_scan", "SELECT text, lang FROM documents")
@@ -76,13 +86,24 @@ def q_result_set(spark, sf):
     return out
 
 
-@query("atomic_replace", "SELECT count(*) AS n_rows FROM documents")
+@query("atomic_replace", "SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def q_atomic_replace(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang")
+    """A table replaced by another one, all of it read back."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("digest"))
     path = scratch_dir(spark, "atomic") + "/table"
-    IO.atomic_replace(d.limit(0), path)
+    IO.atomic_replace(d.withColumn("digest", F.lit("old")), path)
     IO.atomic_replace(d, path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+    return spark.read.parquet(path)
+
+
+@query("published_table", "SELECT doc_id, lang, md5(text) AS digest FROM documents")
+def q_published_table(spark, sf):
+    """SNK-2: two versions published one after the other; readers follow the pointer to the latest."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("digest"))
+    path = scratch_dir(spark, "published")
+    IO.publish(d.withColumn("digest", F.lit("old")), path)
+    IO.publish(d, path)
+    return IO.read_published(spark, path)
 
 
 def _resume_fail(batch_no: int, attempt: int) -> bool:

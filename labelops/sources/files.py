@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -128,8 +129,9 @@ def _fs(spark: SparkSession, path: str):
 def atomic_replace(df: DataFrame, path: str, fmt: str = "parquet", **options) -> str:
     """SNK-2: write to a temporary sibling folder, then swap it into place.
 
-    Readers see either the old or the new complete table; a failed write leaves the old
-    one untouched (Spark's job commit protocol covers the write itself).
+    A failed write leaves the old table untouched (Spark's job commit protocol covers the write
+    itself). Between the two renames no table stands at ``path``; where readers must find one at
+    any moment, use ``publish`` and ``read_published``.
     """
     spark = df.sparkSession
     tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:8]}"
@@ -149,6 +151,58 @@ def atomic_replace(df: DataFrame, path: str, fmt: str = "parquet", **options) ->
     return path
 
 
+POINTER = "_current"
+
+
+def publish(df: DataFrame, path: str, fmt: str = "parquet", keep: int = 2, **options) -> str:
+    """SNK-2 without a gap: write a new version folder under ``path``, then put a one-line pointer file that
+    names it in place by a single overwriting rename. Returns the version's folder.
+
+    Readers (``read_published``) follow the pointer, so they see the old or the new whole table at any
+    moment, and a failed write leaves the old one. Of two writers the later rename wins; neither
+    touches the other's folder. The ``keep`` latest versions stay for readers that are under way, older
+    ones go. The rename is atomic where the file system's is (HDFS, local disks).
+    """
+    spark = df.sparkSession
+    base = path.rstrip("/")
+    fs, root, jvm = _fs(spark, base)
+    of = jvm.org.apache.hadoop.fs.Path
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.format(fmt).options(**options).save(f"{base}/{version}")
+    fresh = of(f"{base}/{POINTER}-{uuid.uuid4().hex[:8]}")
+    stream = fs.create(fresh, True)
+    stream.write(version.encode())
+    stream.close()
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(root).toUri(), fs.getConf()).rename(
+        fs.makeQualified(fresh), fs.makeQualified(of(f"{base}/{POINTER}")), over)
+    current = published_version(spark, base)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v-"))
+    for old in versions[:versions.index(current)][:-keep + 1 or None] if current in versions else []:
+        fs.delete(of(f"{base}/{old}"), True)
+    return f"{base}/{version}"
+
+
+def published_version(spark: SparkSession, path: str) -> str | None:
+    """Name of the version folder that the pointer of a published table names."""
+    fs, pointer, jvm = _fs(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    name = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return name
+
+
+def read_published(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """The table that ``publish`` put at ``path`` last; it stays whole while it is read (see ``keep``)."""
+    version = published_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.format(fmt).options(**options).load(f"{path.rstrip('/')}/{version}")
+
+
 def write_result_set(frames: Mapping[str, DataFrame], base: str, partition_by: str | None = "model",
                      fmt: str = "parquet") -> dict[str, str]:
     """SNK-3: one table per result kind (results, confusion, report, pairs, per-class),
