@@ -6,8 +6,8 @@ batches, prompts are built, the labeller runs once per batch inside ``mapInPanda
 its raw responses are **written before they are parsed** (a lazy plan must never call
 the labeller twice), then parsed, resolved over attempts and written back.  Each
 micro-batch overwrites only its own partition (run id and epoch) and skips only rows that
-*other* partitions have labelled, so a replay after a failure writes the same rows again
-and a rerun adds to what is there.  A labeller that raises has failed one attempt.  Failed
+*other* partitions have labelled, so a replay after a failure writes the same rows again,
+from the answers in its journal (``label_once``), and a rerun adds to what is there.  A labeller that raises has failed one attempt.  Failed
 batches stay unlabelled; ``catch_up`` labels ``input left_anti labelled`` through the same
 functions, each pass into a partition of its own.
 """
@@ -36,20 +36,50 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _marker(spark: SparkSession, path: str) -> bool:
+    """Create a folder as a mark; false if it was there before."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return False if fs.exists(p) else fs.mkdirs(p)
+
+
+def _once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; written first, unless an earlier try has committed it."""
+    if not _table_exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _first_try() -> bool:
+    """False in a task that Spark runs again (after a failure, a lost executor, or speculatively)."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context is None or context.attemptNumber() == 0
+
+
 def call_labeller(prompts: DataFrame, labeller: Labeller, attempt: int) -> DataFrame:
-    """Run the user labeller once per batch (prompt, ordered texts) -> ``batch_no, attempt, body``."""
-    def ask(prompt, texts, batch_no):
+    """Run the user labeller once per batch (prompt, ordered texts) -> ``batch_no, attempt, body``.
+
+    A task that Spark runs again may have asked before: it asks nothing, and its batches have failed this
+    attempt. ``prompts`` should be a written table, so that the job has no shuffle to repeat."""
+    def ask(prompt, texts, batch_no, first):
+        if not first:
+            return "the task was run again"
         try:
             return labeller(prompt, texts, batch_no, attempt)
         except Exception as e:  # noqa: BLE001  a raising labeller is a failed attempt, not the end of the run
             return f"labeller raised {type(e).__name__}"
 
     def run(it):
+        first = first_try()
         for pdf in it:
-            bodies = [ask(p, list(t), int(b)) for p, t, b in zip(pdf["prompt"], pdf["texts"], pdf["batch_no"])]
+            bodies = [ask(p, list(t), int(b), first) for p, t, b in zip(pdf["prompt"], pdf["texts"], pdf["batch_no"])]
             yield pd.DataFrame({"batch_no": pdf["batch_no"].astype("int32"),
                                 "attempt": [attempt] * len(pdf), "body": bodies})
 
+    first_try = _first_try
     ship_package(prompts.sparkSession)
     return prompts.mapInPandas(run, "batch_no int, attempt int, body string")
 
@@ -57,23 +87,35 @@ def call_labeller(prompts: DataFrame, labeller: Labeller, attempt: int) -> DataF
 def label_once(todo: DataFrame, labeller: Labeller, labels: Sequence[str], noun: str, work_dir: str,
                row_id: str = "row_id", text: str = "text", batch_size: int = B.LABEL_BATCH,
                max_attempts: int = B.MAX_ATTEMPTS, extract: bool = False) -> DataFrame:
-    """Label one set of rows: ``row_id, predicted`` for rows that got a valid label."""
+    """Label one set of rows: ``row_id, predicted`` for rows that got a valid label.
+
+    ``work_dir`` is the journal: the numbered rows, the prompts and the responses of each attempt are
+    tables that a replay finds and uses again. A mark is set before an attempt asks. A replay that
+    finds the mark without committed responses cannot know who was asked: that attempt has failed
+    and the next one asks, so no row is asked twice in one attempt.
+    """
     spark = todo.sparkSession
-    numbered = B.batch_numbers(todo.select(row_id, text), row_id, batch_size) \
-        .withColumn("predicted", F.lit(None).cast("string"))
-    numbered = numbered.checkpoint(eager=True)  # fixed batch membership for every attempt
+    numbered = _once(spark, f"{work_dir}/rows", lambda: B.batch_numbers(todo.select(row_id, text), row_id, batch_size)
+                     .withColumn("predicted", F.lit(None).cast("string")))
     prompts = B.prompts(numbered, labels, noun, text=text).join(
         numbered.groupBy("batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text))),
                                                      lambda x: x[text]).alias("texts")), "batch_no")
-    pending = prompts
+    answered = None
     for attempt in range(1, max_attempts + 1):
         path = f"{work_dir}/responses/attempt={attempt}"
-        call_labeller(pending, labeller, attempt).write.mode("overwrite").parquet(path)
+        if not _table_exists(spark, f"{path}/_SUCCESS"):
+            if not _marker(spark, f"{work_dir}/asked/attempt={attempt}"):
+                continue  # asked, and the answers are lost
+            pending = prompts if answered is None else prompts.join(answered, "batch_no", "left_anti")
+            pending = _once(spark, f"{work_dir}/prompts/attempt={attempt}", lambda: pending)
+            call_labeller(pending, labeller, attempt).write.mode("overwrite").parquet(path)
         got = spark.read.parquet(path).withColumn("attempt", F.lit(attempt))
-        ok = got.withColumn("_p", B.parse_body(F.col("body"), labels, extract)).filter("_p.usable")
-        pending = pending.join(ok.select("batch_no"), "batch_no", "left_anti")
-        if pending.limit(1).count() == 0:
+        ok = got.withColumn("_p", B.parse_body(F.col("body"), labels, extract)).filter("_p.usable").select("batch_no")
+        answered = ok if answered is None else answered.unionByName(ok)
+        if prompts.select("batch_no").join(answered, "batch_no", "left_anti").isEmpty():
             break
+    if answered is None:
+        return numbered.select(row_id, "predicted").limit(0)
     responses = spark.read.parquet(f"{work_dir}/responses")
     resolved = B.resolve_attempts(responses, labels, extract, max_attempts)
     written = B.write_back(numbered, resolved)
@@ -95,12 +137,15 @@ def _run_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def _unlabelled(rows: DataFrame, output_path: str, row_id: str, own: str) -> DataFrame:
-    """Rows that no *other* partition of the output has labelled. A replayed epoch thus labels all its
-    rows again and may overwrite its own partition without losing any."""
+    """Rows that no *other* partition of the output has labelled. A replayed epoch thus works on all its
+    rows again and may overwrite its own partition without losing any. The output is read only where
+    its row ids lie between this batch's smallest and largest (files and row groups outside are skipped)."""
     spark = rows.sparkSession
     if not _table_exists(spark, output_path):
         return rows
-    done = spark.read.parquet(output_path).filter(F.col("part").cast("string") != own).select(row_id)
+    low, high = rows.agg(F.min(row_id), F.max(row_id)).first()
+    done = (spark.read.parquet(output_path).filter(F.col("part").cast("string") != own)
+            .filter(F.col(row_id).between(F.lit(low), F.lit(high))).select(row_id))
     return rows.join(done, row_id, "left_anti")
 
 
