@@ -88,8 +88,8 @@ def combined_sheet(truth: DataFrame, sheets: Mapping[str, DataFrame], row_id: st
     out = truth.select(row_id, text, norm_label(truth_col).alias(truth_col))
     checks = []
     for name, s in sheets.items():
-        out = out.join(s.select(F.col(row_id), F.col(text).alias(f"_{name}_text"), F.col(name)), row_id, "left")
-        checks.append(F.col(f"_{name}_text").eqNullSafe(F.col(text)))
+        out = out.join(s.select(F.col(row_id), F.md5(F.col(text).cast("binary")).alias(f"_{name}_text"), F.col(name)), row_id, "left")
+        checks.append(F.col(f"_{name}_text").eqNullSafe(F.md5(F.col(text).cast("binary"))))
     ok = checks[0]
     for c in checks[1:]:
         ok = ok & c
@@ -99,14 +99,11 @@ def combined_sheet(truth: DataFrame, sheets: Mapping[str, DataFrame], row_id: st
 
 def label_violations(df: DataFrame, row_id: str, label_cols: Sequence[str], valid: Sequence[str]) -> DataFrame:
     """VAL-1/VAL-2: ``check, column, row_id, value`` for blank labels and invalid labels."""
-    out = None
-    for c in label_cols:
-        chk = (F.when(is_blank(c), F.lit("blank"))
-               .when(~norm_label(c).isin(list(valid)), F.lit("invalid")))
-        v = df.select(chk.alias("check"), F.lit(c).alias("column"), F.col(row_id), F.col(c).alias("value"))
-        v = v.filter(F.col("check").isNotNull())
-        out = v if out is None else out.unionByName(v)
-    return out
+    checks = F.array(*[
+        F.struct(F.when(is_blank(c), F.lit("blank")).when(~norm_label(c).isin(list(valid)), F.lit("invalid")).alias("check"),
+                 F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in label_cols])
+    return (df.select(F.col(row_id), F.inline(checks)).filter(F.col("check").isNotNull())
+            .select("check", "column", row_id, "value"))
 
 
 def assert_valid(violations: DataFrame, what: str = "labels", show: int = 20) -> None:
@@ -122,15 +119,18 @@ def alignment_check(reference: DataFrame, other: DataFrame, row_id: str = "row_i
     """VAL-3: rows of ``other`` (per ``keys`` group) aligned to ``reference`` on the row id.
 
     Counts rows on both sides, rows missing from ``other``, extra rows and text mismatches;
-    ``aligned`` is true when every count matches and no text differs.
+    ``aligned`` is true when every count matches and no text differs. Texts meet as 128-bit digests:
+    no text is shuffled.
     """
-    a = reference.select(row_id, F.col(text).alias("_ta"))
-    b = other.select(*keys, row_id, F.col(text).alias("_tb"))
+    digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))  # noqa: E731  null stays null
+    a = reference.select(row_id, digest(text).alias("_ta"), F.lit(True).alias("_in"))
+    b = other.select(*keys, row_id, digest(text).alias("_tb"))
+    known = F.col("_in").isNotNull()
     per = b.join(a, row_id, "left").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_other"),
-        F.count_if(F.col("_ta").isNull()).alias("n_extra"),
-        F.count_if(F.col("_ta").isNotNull()).alias("_matched"),
-        F.count_if(F.col("_ta").isNotNull() & ~F.col("_ta").eqNullSafe(F.col("_tb"))).alias("n_text_mismatch"))
+        F.count_if(~known).alias("n_extra"),
+        F.count_if(known).alias("_matched"),
+        F.count_if(known & ~F.col("_ta").eqNullSafe(F.col("_tb"))).alias("n_text_mismatch"))
     per = attach_scalars(per, a.agg(F.count(F.lit(1)).alias("n_reference")))
     return (per.withColumn("n_missing", F.col("n_reference") - F.col("_matched")).drop("_matched")
             .withColumn("aligned", (F.col("n_missing") == 0) & (F.col("n_extra") == 0)

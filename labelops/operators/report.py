@@ -30,3 +30,16 @@ def metric_report(wide: DataFrame, models: Sequence[str], valid: Sequence[str],
                           F.struct(F.lit("statistic").alias("metric"), F.col("statistic").alias("value")),
                           F.struct(F.lit("p_value").alias("metric"), F.col("p_value").alias("value")))))
     return ds.unionByName(met).unionByName(mc)
+
+
+# Names of metrics in report lines.
+LINE_NAMES = {"accuracy": "Accuracy", "f1_macro": "F1-Macro"}
+
+
+def bootstrap_lines(intervals: DataFrame, subject: str = "model") -> DataFrame:
+    """RPT-1, bootstrap section: ``section, subject, metric, value, text`` of ``bootstrap`` rows; the value is the
+    mean, the text the whole line (mean, spread, interval, valid samples)."""
+    name = F.coalesce(F.create_map(*[F.lit(x) for kv in LINE_NAMES.items() for x in kv])[F.col("metric")], F.col("metric"))
+    text = F.format_string("%s: %.4f ± %.4f [%.4f, %.4f] (Valid samples: %d)", name, "mean", "std", "ci_lower", "ci_upper", "valid_samples")
+    return intervals.select(F.lit("bootstrap").alias("section"), F.col(subject).alias("subject"), "metric",
+                            F.round("mean", 4).alias("value"), text.alias("text"))

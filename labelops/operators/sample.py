@@ -25,6 +25,7 @@ from labelops.operators.labels import select_classes
 SEED = 42
 BUCKET_HEX_DIGITS = 4  # 16 bits -> 65 536 buckets per group
 # Checksum tree: 65 536 rows a chunk and level (four levels reach any bigint position), or digest prefixes.
+BROADCAST_CLASSES = 16  # classes whose histogram, 65 536 rows each, is still sent to every executor
 CHUNK_BITS, ORDER_LEVELS = 16, 4
 CHUNK_PREFIXES = (8, 4)
 
@@ -39,7 +40,7 @@ def ranked_sample(df: DataFrame, n: int, row_id: str = "row_id", by: Sequence[st
     """Up to ``n`` rows per ``by`` group with the smallest keys, with ``ord`` 1..n per group.
 
     The bucket histogram is broadcast only when the groups are known to be few (no ``by``, or
-    ``bounded_groups=True`` for a listed class set); otherwise the join is left to AQE.
+    ``bounded_groups=True``, which a short list of classes sets); otherwise the join is left to AQE.
     """
     by = list(by)
     key = rank_key(row_id, seed)
@@ -52,7 +53,7 @@ def ranked_sample(df: DataFrame, n: int, row_id: str = "row_id", by: Sequence[st
             .filter(F.col("_before") < F.lit(n))
             .select(*by, "_b", "_before"))
     bounded = (not by) if bounded_groups is None else bounded_groups
-    # bounded: at most (#groups x 65 536) rows when the groups are a listed class set
+    # bounded: at most BROADCAST_CLASSES x 65 536 rows
     picked = keyed.join(F.broadcast(hist) if bounded else hist, [*by, "_b"], "inner")
     wr = Window.partitionBy(*by, "_b").orderBy("_k", row_id)
     ranked = picked.withColumn(ord_col, (F.col("_before") + F.row_number().over(wr)).cast("long"))
@@ -80,7 +81,8 @@ def sample_cap(df: DataFrame, n: int, row_id: str = "row_id", seed: int | str =
 def sample_balanced(df: DataFrame, label: str, classes: Sequence[str], n: int,
                     row_id: str = "row_id", seed: int | str = SEED) -> DataFrame:
     """SMP-2 (+FLT-10): ``n`` rows per listed class; a short class gives all its rows."""
-    return ranked_sample(select_classes(df, label, classes), n, row_id, [label], seed, bounded_groups=True)
+    return ranked_sample(select_classes(df, label, classes), n, row_id, [label], seed,
+                         bounded_groups=len(set(classes)) <= BROADCAST_CLASSES)
 
 
 def sample_shortfall(df: DataFrame, label: str, classes: Sequence[str], n: int) -> DataFrame:

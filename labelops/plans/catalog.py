@@ -797,6 +797,18 @@ def q_bootstrap_kappa(spark, sf):
     return BS.bootstrap(_norm_cells(spark, sf), ["model"], metrics=["kappa"], measure=lambda c, k: C.kappa(c, k, digits=18))
 
 
+_LINE = ("'bootstrap' AS section, model AS subject, metric, round(mean, 4) AS value, printf('%s: %.4f ± %.4f [%.4f, %.4f] (Valid samples: %d)', "
+         "CASE metric WHEN 'accuracy' THEN 'Accuracy' ELSE 'F1-Macro' END, mean, std, ci_lower, ci_upper, valid_samples) AS text")
+
+
+@query("report_bootstrap", _bootstrap_sql(BQ.summary("accuracy", "accuracy", digits=12), BQ.summary("f1_macro", "f1_macro", digits=12))
+       .replace("SELECT * FROM (SELECT model", f"SELECT {_LINE} FROM (SELECT model", 1))
+def q_report_bootstrap(spark, sf):
+    from labelops.operators.report import bootstrap_lines
+
+    return bootstrap_lines(BS.bootstrap(_norm_cells(spark, sf), ["model"], digits=12))
+
+
 def _paired_sql() -> str:
     names = [f"m{i}" for i in range(len(MODELS))]
     norm = ", ".join(f"{s_norm(chr(34) + m + chr(34))} AS m{i}" for i, m in enumerate(MODELS))

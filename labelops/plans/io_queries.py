@@ -13,8 +13,8 @@ from labelops.operators import cells as C
 from labelops.operators import labels as L
 from labelops.operators import order as O
 from labelops.plans import fixtures as X
-from labelops.plans.catalog import LANGS, MODELS, _norm_cells, _preds_long, query
-from labelops.plans.fixtures import s_list, sh, table
+from labelops.plans.catalog import LANGS, MODELS, PL, PW, SQL_VCELLS, _preds_long, query
+from labelops.plans.fixtures import s_in, s_list, sh, table
 from labelops.session import scratch_dir
 from labelops.sources import files as IO
 from labelops.streaming import resume as R
@@ -70,20 +70,29 @@ def q_encoding_scan(spark, sf):
                                       F.count_if(F.col("text").startswith("سلام")).alias("n_persian_prefix"))
 
 
-@query("result_set")
+@query("result_set", f"""SELECT 'results' AS kind, model, CAST(doc_id AS VARCHAR) AS key, 1 AS n, CAST(NULL AS DOUBLE) AS value
+  FROM preds_long WHERE predicted IN {s_in(LANGS)}
+UNION ALL SELECT 'per_class', model, truth, sum(n), round(coalesce(sum(n) FILTER (WHERE truth = pred), 0) / sum(n), 6)
+  FROM vcells WHERE truth IN {s_in(LANGS)} GROUP BY model, truth
+UNION ALL SELECT 'pairs', model, concat_ws('>', truth, pred), sum(n), NULL FROM vcells WHERE truth IS DISTINCT FROM pred GROUP BY model, truth, pred
+UNION ALL SELECT 'confusion', model, concat_ws('>', truth, pred), sum(n), NULL FROM vcells WHERE truth IN {s_in(LANGS)}
+  GROUP BY model, truth, pred""", (PW, PL, SQL_VCELLS))
 def q_result_set(spark, sf):
-    """Per-model result tables written partitioned by model, read back as row counts."""
-    c = C.cells(L.valid_predictions(_preds_long(spark, sf), "predicted", LANGS), "truth", "predicted", ["model"])
-    frames = {"confusion": C.confusion(c, LANGS, ["model"]), "report": C.class_report(c, ["model"]),
-              "pairs": C.confused_pairs(c, ["model"]), "per_class": C.per_class_accuracy(c, ["model"], LANGS),
-              "metrics": C.model_metrics(_norm_cells(spark, sf), ["model"])}
+    """The result tables of all labellers (results, confusion, report, pairs, per class), written by model and read back."""
+    valid = L.valid_predictions(_preds_long(spark, sf), "predicted", LANGS)
+    c = C.cells(valid, "truth", "predicted", ["model"])
+    frames = {"results": valid.select("model", "doc_id", "truth", "predicted"), "confusion": C.confusion(c, LANGS, ["model"]),
+              "report": C.class_report(c, ["model"]), "pairs": C.confused_pairs(c, ["model"]),
+              "per_class": C.per_class_accuracy(c, ["model"], LANGS)}
     paths = IO.write_result_set(frames, scratch_dir(spark, "results"))
-    out = None
-    for kind, p in paths.items():
-        t = spark.read.parquet(p).groupBy("model").agg(F.count(F.lit(1)).alias("n_rows")) \
-            .withColumn("kind", F.lit(kind))
-        out = t if out is None else out.unionByName(t)
-    return out
+    read = {kind: spark.read.parquet(p) for kind, p in paths.items()}
+    none = F.lit(None).cast("double")
+    rows = lambda kind, key, n, value=none: read[kind].select(
+        F.lit(kind).alias("kind"), "model", key.cast("string").alias("key"), n.cast("bigint").alias("n"), value.alias("value"))
+    out = rows("results", F.col("doc_id"), F.lit(1))
+    out = out.unionByName(rows("per_class", F.col("label"), F.col("sample_count"), F.col("accuracy")))
+    out = out.unionByName(rows("pairs", F.concat_ws(">", "truth", "pred"), F.col("count")))
+    return out.unionByName(rows("confusion", F.concat_ws(">", "truth", "pred"), F.col("n")).filter("n > 0"))
 
 
 @query("atomic_replace", "SELECT doc_id, lang, md5(text) AS digest FROM documents")
