@@ -4,7 +4,8 @@
 WIN-1 at scale: a global ``row_number()`` is one task.  ``number_rows`` instead ranks through a
 tree over the bits of the integer key: rows are numbered inside buckets of 65 536 key values, and
 the rows before a bucket are sums over its smaller siblings, level by level.  No window holds more
-than 65 536 keys, nothing is materialised, and only the key is read to count.
+than 65 536 keys.  The counts of the lowest level are written once to the scratch folder, so the
+input is evaluated twice, to count and to number, and only the key is read to count.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelops.session import scratch_dir
+
 # Batch sizes for review sheets and labelling calls, and attempts per batch.
 REVIEW_BATCH = 100
 LABEL_BATCH = 20
@@ -84,6 +87,9 @@ def number_rows(df: DataFrame, order_by: str, out: str = "rn") -> DataFrame:
 
     level = df.select(F.shiftright(F.col(order_by).cast("bigint"), KEY_BITS).alias("_b0")) \
         .groupBy("_b0").agg(F.count(F.lit(1)).alias("_n0"))
+    path = scratch_dir(df.sparkSession, "numbers")
+    level.write.parquet(path)
+    level = df.sparkSession.read.schema("_b0 bigint, _n0 bigint").parquet(path)
     levels = [level]
     for i in range(1, 64 // KEY_BITS):
         level = level.groupBy(parent(f"_b{i - 1}").alias(f"_b{i}")).agg(F.sum(f"_n{i - 1}").alias(f"_n{i}"))

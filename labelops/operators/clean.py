@@ -103,9 +103,10 @@ def classify(df: DataFrame, text: str = "text", row_id: str = "row_id",
 def clean(df: DataFrame, text: str = "text", row_id: str = "row_id",
           order: Sequence[str] = BLANK_FIRST, min_n: int = MIN_CHARS,
           max_words: int = MAX_WORDS) -> DataFrame:
-    """Rows that pass every rule (first copy of each text); only those are hashed and joined."""
-    passed = df.filter(_text_rule(text, order, min_n, max_words).isNull())
-    return dedup_first(passed, text, row_id)
+    """Rows that pass every rule (first copy of each text). The rules are computed once per row, in the
+    aggregate of ``classify``; the row ids that come out of it without a rule pick the raw rows."""
+    passed = classify(df, text, row_id, order, min_n, max_words).filter(F.col("rule").isNull())
+    return df.join(passed.select(row_id), row_id, "left_semi")
 
 
 def funnel_counts(classified: DataFrame, order: Sequence[str] = BLANK_FIRST) -> DataFrame:
