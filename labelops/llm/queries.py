@@ -26,7 +26,8 @@ def op3_quality(spark, d):
 def op4_toxicity(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     out = toxicity.toxicity(docs, labels.filter(~toxicity.held_out()))
-    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"),
+                      "spans")
 
 
 def op5_tokencount(spark, d):
