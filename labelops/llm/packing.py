@@ -24,6 +24,7 @@ gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import cached_property
 from zlib import crc32
@@ -41,6 +42,7 @@ CAPACITY = 4096
 END_ID = 2
 CACHE = 250_000  # words in each half of a worker's cache
 MARKS = b",.;:!?"
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # The splitting rules of the vocabulary under which a word of letters is one item.
 LETTER_RULE = [
     {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
@@ -119,7 +121,8 @@ class WordTokenizer:
             return self.seen[word[:n]] + self.seen[word[n:]]
         text = word.decode()
         if self.letter_rule and text.isalpha():
-            text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+            # the rules' own form; on letters of Latin-1 it is lower case
+            text = text.lower() if LATIN.fullmatch(text) else self.normalizer.normalize_str(text)
             if text.isascii():
                 return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
             if text.isalpha():
@@ -140,9 +143,12 @@ class WordTokenizer:
 
 
 def _body(word: bytes) -> int:
-    """Length of a word without the marks at its end, if a letter a-z stands before them."""
+    """Length of a word without the marks at its end, if a letter of a-z or of Latin-1 stands before them."""
     n = len(word.rstrip(MARKS))
-    return n if n and 97 <= word[n - 1] <= 122 else len(word)
+    if n and 97 <= word[n - 1] <= 122:
+        return n
+    latin = n > 1 and word[n - 2] == 0xC3 and 0x80 <= word[n - 1] <= 0xBF and word[n - 1] not in (0x97, 0xB7)
+    return n if latin else len(word)
 
 
 #: one tokenizer and cache per vocabulary and Python worker; they outlive a task where workers are reused
