@@ -10,8 +10,9 @@ Texts are cut into pieces at punctuation and line ends, pieces into words. Every
 2. **Graph.** Nodes are 4-grams, edges the open 5-grams between overlapping nodes, weighted by their
    occurrences. Besides these, only the ends are counted from text: the places where an open gram of
    1 to 4 words is followed by a piece's end or by a word that closes it. Counts are summed per slice of
-   text in numpy, then by Spark with map-side combine, so a passage in a third of the corpus is one
-   row per slice.
+   text in numpy, then over the slices of a task (``GRAMS_HELD`` grams at a time), so a gram in a third of
+   the corpus is sent once a task. Grams travel packed by hash bucket, a row for each language and
+   bucket; buckets follow the size of the corpus, and a group sums one of them.
 3. **Shorter counts.** A node's count is the flow along its outgoing edges plus the ends in it; the same
    rule takes 4-grams to 3-grams, and so on down to words.
 4. **Compaction.** A node whose count equals one incoming and one outgoing edge is passed through by
@@ -37,13 +38,17 @@ from pyspark.sql import functions as F
 
 from labelops.session import scratch_dir, ship_package
 
+from .common import freeing
+
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
-PART_BYTES = 4 << 20  # of text handled at a time in a task
+PART_BYTES = 2 << 20  # of text handled at a time in a task
 CELL_BITS = 28  # the pair filter's largest table: 2^28 cells, a bitmap of 32 MB
 CHUNK_BITS = 16
 CELLS_HELD = 2 << 20  # cells kept in a task before they are sent
+GRAMS_HELD = 1 << 20  # grams kept in a task before they are summed, and sent if more than half of them stay
+BUCKET_BYTES = 8 << 20  # of text a hash bucket of grams stands for
 #: piece separators of the contract become one byte that no word can hold; A-Z in lower case
 BREAK = b"."
 TO_LOWER = bytes(ord(BREAK) if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -90,22 +95,26 @@ def token_slices(batches, most: int = PART_BYTES):
     yield from flush()
 
 
-def _cells(lang: str, words: list[bytes], bits: int):
-    """Function from token numbers at neighbouring places to hash cells of words, pairs or triples."""
+def _hashes(lang: str, words: list[bytes]):
+    """Function from token numbers at neighbouring places to 64-bit hashes of their grams."""
     from xxhash import xxh64_intdigest
 
     seed = xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
     h = np.array([xxh64_intdigest(w, seed) for w in words], np.uint64)
-    shift = np.uint64(64 - bits)
 
-    def cell(first, *more):
+    def mixed(first, *more):
         x = h[first]
         for m in more:
             x = x * np.uint64(0x9E3779B97F4A7C15) + h[m]
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return (x >> shift).astype(np.int64)
+        return x
+
+    return mixed
+
 
-    return cell
+def _cells(mixed, bits: int):
+    """Function from token numbers at neighbouring places to hash cells of words, pairs or triples."""
+    return lambda *at: (mixed(*at) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _has(bitmap, cells: np.ndarray) -> np.ndarray:
@@ -141,7 +150,7 @@ def cell_counts(bits: int, support: int, part_bytes: int = PART_BYTES, shared=()
         cells, counts = [], []
         bitmaps = [s.value for s in shared]
         for lang, words, a in token_slices(batches, part_bytes):
-            cell = _cells(lang, words, bits)
+            cell = _cells(_hashes(lang, words), bits)
             if bitmaps:
                 pair = open_grams(a, cell, bitmaps, 2)[1]
                 at = np.flatnonzero(pair[:-1] & pair[1:])
@@ -151,9 +160,9 @@ def cell_counts(bits: int, support: int, part_bytes: int = PART_BYTES, shared=()
                 n[lang] += len(live)
                 both = np.flatnonzero((a[:-1] > 0) & (a[1:] > 0))
                 here = np.concatenate([cell(live), cell(a[both], a[both + 1])])
-            c, k = np.unique(here, return_counts=True)
+            c, k = np.unique(here.astype(np.uint32), return_counts=True)
             cells.append(c)
-            counts.append(k)
+            counts.append(k.astype(np.uint32))
             if sum(map(len, cells)) > CELLS_HELD:
                 yield _cell_rows(cells, counts, bits, support)
                 cells, counts = [], []
@@ -166,7 +175,7 @@ def cell_counts(bits: int, support: int, part_bytes: int = PART_BYTES, shared=()
 
 
 def _summed(cells, counts):
-    c, k = np.concatenate([np.zeros(0, np.int64), *cells]), np.concatenate([np.zeros(0, np.int64), *counts])
+    c, k = np.concatenate([np.zeros(0, np.uint32), *cells]), np.concatenate([np.zeros(0, np.uint32), *counts])
     order = np.argsort(c, kind="stable")
     c, k = c[order], k[order]
     at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
@@ -205,32 +214,75 @@ def frequent_cells(support: int):
     return run
 
 
-def gram_counts(shared, bits: int, longest: int, part_bytes: int = PART_BYTES):
-    """Per slice: (lang, k, gram, n) of edges (k = longest) and of the shorter open grams that no open gram extends."""
+GRAMS = "lang string, bucket int, grams binary, n binary"
+
+
+def gram_counts(shared, bits: int, longest: int, part_bytes: int = PART_BYTES, buckets: int = 1):
+    """Edges (k = longest) and the shorter open grams that no open gram extends, summed over the slices of a
+    task: per language and bucket, the grams by lines and their counts as 64-bit numbers."""
     def run(batches):
         bitmaps = [s.value for s in shared]
+        held, size = [], 0
         for lang, words, a in token_slices(batches, part_bytes):
             a = np.concatenate([a, np.zeros(longest, np.int64)])
-            chains, out = open_grams(a, _cells(lang, words, bits), bitmaps, longest), []
+            mixed = _hashes(lang, words)
+            chains, grams, ns, bucket = open_grams(a, _cells(mixed, bits), bitmaps, longest), [], [], []
             for k, chain in enumerate(chains, 1):
                 ends = chain if k == longest else chain & ~chains[k]
-                grams, n = _distinct(a, np.flatnonzero(ends), k, words)
-                out.append((np.full(len(n), k, np.int32), grams, n))
-            ks, grams, n = np.concatenate([o[0] for o in out]), [g for o in out for g in o[1]], np.concatenate([o[2] for o in out])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(ks), pa.array(grams, pa.binary()),
-                                              pa.array(n, pa.int64())], names=["lang", "k", "gram", "n"])
+                at, n = _distinct(a, np.flatnonzero(ends), k, len(words))
+                grams += [b" ".join(words[t] for t in a[p:p + k]) for p in at.tolist()]
+                ns.append(n)
+                bucket.append(((mixed(*(a[at + j] for j in range(k))) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32))
+            held.append(pa.table({"lang": pa.array([lang] * len(grams), pa.string()), "bucket": np.concatenate(bucket),
+                                  "gram": pa.array(grams, pa.binary()), "n": np.concatenate(ns)}))
+            size += len(grams)
+            if size > GRAMS_HELD:
+                held = [_summed_grams(held, ["lang", "bucket", "gram"])]
+                size = held[0].num_rows
+                if size > GRAMS_HELD // 2:
+                    yield _packed_grams(held[0])
+                    held, size = [], 0
+        if size:
+            yield _packed_grams(_summed_grams(held, ["lang", "bucket", "gram"]))
 
     return run
 
 
-def _distinct(a: np.ndarray, at: np.ndarray, k: int, words: list[bytes]):
-    """Distinct k-grams that start at ``at``, space-joined, and how often each does."""
+def _summed_grams(tables, keys) -> pa.Table:
+    import pyarrow.compute  # noqa: F401
+
+    t = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return t.select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+
+
+def _packed_grams(t: pa.Table) -> pa.RecordBatch:
+    t = t.sort_by([(c, "ascending") for c in ("lang", "bucket", "gram")])
+    lang, bucket, grams, n = t["lang"].to_pylist(), t["bucket"].to_numpy(), t["gram"].to_pylist(), t["n"].to_numpy().astype("<i8")
+    at = [i for i in range(len(lang)) if not i or bucket[i] != bucket[i - 1] or lang[i] != lang[i - 1]]
+    cut = list(zip(at, [*at[1:], len(lang)]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang[s] for s in at], pa.string()), pa.array(bucket[at], pa.int32()),
+         pa.array([b"\n".join(grams[s:e]) for s, e in cut], pa.binary()), pa.array([n[s:e].tobytes() for s, e in cut], pa.binary())],
+        names=["lang", "bucket", "grams", "n"])
+
+
+def merged_grams(table: pa.Table) -> pa.Table:
+    """(lang, k, gram, n) of one language and bucket."""
+    parts = [pa.table({"gram": pa.array(g.as_py().split(b"\n"), pa.binary()), "n": np.frombuffer(n.as_buffer(), "<i8")})
+             for g, n in zip(table["grams"], table["n"])]
+    t = _summed_grams(parts, ["gram"])
+    k = pa.array([g.as_buffer().to_pybytes().count(b" ") + 1 for g in t["gram"]], pa.int32())
+    return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(k), pa.string()), "k": k, "gram": t["gram"], "n": t["n"]})
+
+
+def _distinct(a: np.ndarray, at: np.ndarray, k: int, n_words: int):
+    """Places of the distinct k-grams that start at ``at``, and how often each does."""
     key, first, n = a[at], np.arange(len(at)), np.ones(len(at), np.int64)
     for j in range(k):
         if j:
-            key = key * len(words) + a[at + j]
+            key = key * n_words + a[at + j]
         _, first, key, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return [b" ".join(words[t] for t in a[p:p + k]) for p in at[first].tolist()], n
+    return at[first], n
 
 
 def _words(gram, lo: int, hi: int):
@@ -273,13 +325,13 @@ def gram_table(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     place = scratch_dir(spark, "phrases")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if cell_bits is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         cell_bits = min(CELL_BITS, max(CHUNK_BITS, (size // 24).bit_length()))
     width = 1 << (CHUNK_BITS - 3)
     shared = []
     for step in ("pairs", "triples")[:longest - 1]:
-        rows.mapInArrow(cell_counts(cell_bits, support, part_bytes, list(shared)), CELLS).write.parquet(f"{place}/{step}")
+        rows.mapInArrow(freeing(cell_counts(cell_bits, support, part_bytes, list(shared))), CELLS).write.parquet(f"{place}/{step}")
         cells = spark.read.schema(CELLS).parquet(f"{place}/{step}")
         bitmap = bytearray(max(width, 1 << max(0, cell_bits - 3)))
         for r in (cells.filter("chunk IS NOT NULL").select("chunk", "offsets", "counts").groupBy("chunk")
@@ -287,9 +339,9 @@ def gram_table(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             bitmap[r.chunk * width:(r.chunk + 1) * width] = r.bits
         shared.append(spark.sparkContext.broadcast(bytes(bitmap)))
     total = spark.read.schema(CELLS).parquet(f"{place}/pairs").filter("chunk IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    (rows.mapInArrow(gram_counts(shared, cell_bits, longest, part_bytes), "lang string, k int, gram binary, n long")
-     .withColumn("gram", F.col("gram").cast("string")).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-     .write.partitionBy("k").parquet(f"{place}/counted"))
+    (rows.mapInArrow(freeing(gram_counts(shared, cell_bits, longest, part_bytes, 1 + size // BUCKET_BYTES)), GRAMS)
+     .groupBy("lang", "bucket").applyInArrow(merged_grams, "lang string, k int, gram binary, n long")
+     .withColumn("gram", F.col("gram").cast("string")).write.partitionBy("k").parquet(f"{place}/counted"))
     for s in shared:
         s.unpersist()
     counted = spark.read.schema("lang string, gram string, n long, k int").parquet(f"{place}/counted")

@@ -80,3 +80,28 @@ def test_null_ties_empty_and_clashing_columns(spark, empty):
     want = brute(rows, 5, 2000)
     assert found(df, support=5) == want and [r[2] for r in want] == ["b c", "d e"]
     assert found(empty) == []
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 20, 100])
+def test_grams_are_sent_once_a_task(part_bytes):
+    """Slices of a task are summed before they are sent: a row for each language and bucket, whatever the slices."""
+    import pyarrow as pa
+
+    class Open:
+        value = bytes([255]) * 32
+
+    texts = [(f"{lang} a b c d e{i % 3}.", lang) for i in range(400) for lang in ("en", "de")]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[1] for x in texts]), pa.array([x[0].encode() for x in texts])], names=["lang", "text"])
+    sent = list(P.gram_counts([Open, Open], 8, 5, part_bytes, buckets=4)([batch]))
+    assert sum(b.num_rows for b in sent) <= 2 * 4
+    got = Counter()
+    for b in sent:
+        for i in range(b.num_rows):
+            for r in P.merged_grams(pa.Table.from_batches([b.slice(i, 1)])).to_pylist():
+                got[r["lang"], r["k"], r["gram"]] += r["n"]
+    want = Counter()
+    for text, lang in texts:
+        w = text[:-1].split()
+        for i in range(len(w)):  # all grams are open: edges, and the ends of a piece
+            want[lang, min(5, len(w) - i), " ".join(w[i:i + 5]).encode()] += 1
+    assert got == want
