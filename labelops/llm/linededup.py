@@ -8,7 +8,8 @@ earlier in the input, by (id, line number, hash of the row). Lines without a wor
 1. One pass writes a table of lines: place, a 128-bit hash of the words, and four half keys. Equal
    lines meet by hash in a map-side combined aggregate.
 2. Lines one edit apart agree in the first or in the second half of the longer one, so they share a
-   half key. Lines that share none have no partner and need no variants.
+   half key. Lines that share none have no partner and need no variants. The rows of the others are
+   found by a bitmap of their hashes (32 MB at most) before the exact join, so only their texts are shuffled.
 3. The others emit their deletion variants (each word of the half that may differ left out) as
    hashed keys. A variant with its position and length joins substitutions, a variant and a whole
    line join insertions and deletions. Members of one key are compared with its earliest line only,
@@ -36,6 +37,7 @@ from .common import freeing
 
 MIN_WORDS = 8
 NO_ID = 2**63 - 1
+BITMAP_BITS = 28  # the largest bitmap of row hashes: 2^28 bits, 32 MB
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 2**64)
 
@@ -126,6 +128,17 @@ def variants(words: list[bytes], roles) -> set[tuple[int, str]]:
     return out
 
 
+def marked_rows(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """The rows whose rid may be in ``wanted``: all that are, and of the others those whose hash meets a
+    marked bit of a broadcast bitmap of 2^bits bits (in blocks of 32768)."""
+    cell = F.expr(f"rid & {(1 << bits) - 1}L")
+    block, at = lambda c: F.shiftright(c, 15), lambda c: c.bitwiseAND(32767)
+    marks = wanted.groupBy(block(cell).alias("block")).agg(F.bitmap_construct_agg(at(cell)).alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", F.shiftright(at(cell), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = (block(cell) == F.col("block")) & (F.getbit(byte, at(cell).bitwiseAND(7).cast("int")) == 1)
+    return rows.join(F.broadcast(marks), hit, "left_semi")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """rid, doc_id, line_no, n_words, verdict (kept, equal, near), first_doc_id, first_line_no: every
     line with a word; the last two name the earlier line that removes it."""
@@ -145,7 +158,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roles = (half.join(shared, "hk").filter((F.col("half") < 2) | F.col("del"))
              .groupBy("first").agg(F.collect_list(F.struct("half", "sub", "del")).alias("roles")))
     wanted = roles.select("first.rid", F.struct("first.doc", "first.line", "first.rid", "roles").alias("x"))
-    per_row = wanted.groupBy("rid").agg(F.collect_list("x").alias("wanted"))
+    wanted.groupBy("rid").agg(F.collect_list("x").alias("wanted")).write.parquet(f"{place}/wanted")
+    per_row = spark.read.parquet(f"{place}/wanted")
+    bits = min(BITMAP_BITS, max(15, (16 * per_row.count()).bit_length()))
 
     def fetch(batches):
         for b in batches:
@@ -161,7 +176,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                   pa.array(cols[3], pa.binary()), pa.array(cols[4], role)], names=["doc", "line", "rid", "words", "roles"])
 
     base = docs.select(*_row(id_col, text_col))
-    (base.join(per_row, "rid").select("text", "wanted")
+    (marked_rows(base, per_row.select("rid"), bits).join(per_row, "rid").select("text", "wanted")
      .mapInArrow(fetch, "doc long, line int, rid long, words binary, roles array<struct<half:int,sub:boolean,del:boolean>>")
      .dropDuplicates(["doc", "line", "rid"]).write.parquet(f"{place}/candidates"))
     texts = spark.read.parquet(f"{place}/candidates")

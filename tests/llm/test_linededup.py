@@ -126,3 +126,14 @@ def test_equal_rows_keep_their_lines(spark):
     df = spark.createDataFrame([(None, "a b\nc d"), (None, "a b\nc d"), (None, "a b\ne f")], "doc_id long, text string")
     out = [r["text"] for r in L.without_duplicates(df).collect()]
     assert sorted(out) in (["a b\nc d", "a b\nc d", "e f"], ["a b\ne f", "c d", "c d"])
+
+
+def test_bitmap_leaves_wanted_rows_and_few_others(spark):
+    """Texts that hold no line in question are not shuffled."""
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS rid", "id", "repeat('x', 100) AS text")
+    wanted = rows.filter("id % 20 = 0").select("rid")
+    got = {r.id for r in L.marked_rows(rows, wanted, 15).select("id").collect()}
+    assert got >= set(range(0, 20_000, 20)) and len(got) < 2200
+    plan = L.marked_rows(rows, wanted, 15)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(rid" not in plan
+    assert L.marked_rows(rows, wanted.limit(0), 15).count() == 0
