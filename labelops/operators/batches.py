@@ -165,14 +165,28 @@ def review_sheet(numbered: DataFrame, text: str = "text") -> DataFrame:
                                             _ordered_join(line, "\n\n").alias("sheet"))
 
 
+def batch_texts(numbered: DataFrame, *others: str, text: str = "text") -> DataFrame:
+    """``batch_no, n_texts, items``: the rows of a batch (``pos``, text, other columns) in ``pos`` order."""
+    return numbered.groupBy("batch_no").agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.array_sort(F.collect_list(F.struct("pos", F.col(text).alias("text"), *others))).alias("items"))
+
+
+def with_prompts(batches: DataFrame, labels: Sequence[str], noun: str, nouns: str | None = None,
+                 language: str = "Persian") -> DataFrame:
+    """``batch_texts`` with its ``prompt``; no shuffle."""
+    header, footer = prompt_parts(labels, noun, nouns, language)
+    block = lambda x: F.concat(F.lit("Text "), x["pos"].cast("string"), F.lit(": "), x["text"], F.lit("\n\n"))
+    blocks = F.array_sort(F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), block(x).alias("s"))))
+    joined = F.array_join(F.transform(blocks, lambda x: x["s"]), "")
+    return batches.withColumn("prompt", F.concat(F.lit(header), joined, F.lit(footer)))
+
+
 def prompts(numbered: DataFrame, labels: Sequence[str], noun: str, nouns: str | None = None,
             language: str = "Persian", text: str = "text") -> DataFrame:
     """TXT-1: one prompt per batch: header, ``Text i: …`` blocks, JSON format footer."""
-    header, footer = prompt_parts(labels, noun, nouns, language)
-    block = F.concat(F.lit("Text "), F.col("pos").cast("string"), F.lit(": "), F.col(text), F.lit("\n\n"))
-    return numbered.groupBy("batch_no").agg(
-        F.count(F.lit(1)).alias("n_texts"),
-        F.concat(F.lit(header), _ordered_join(block, ""), F.lit(footer)).alias("prompt"))
+    out = with_prompts(batch_texts(numbered, text=text), labels, noun, nouns, language)
+    return out.select("batch_no", "n_texts", "prompt")
 
 
 def parse_body(body: Column, valid: Sequence[str], extract: bool = False) -> Column:

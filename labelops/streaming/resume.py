@@ -2,7 +2,7 @@
 
 ``readStream`` over the input table → ``trigger(availableNow=True)`` → ``foreachBatch``:
 rows already labelled are skipped (anti join on the row id), the rest are numbered into
-batches, prompts are built, the labeller runs once per batch inside ``mapInPandas`` and
+batches, these are written once, prompts are built, the labeller runs once per batch inside ``mapInPandas`` and
 its raw responses are **written before they are parsed** (a lazy plan must never call
 the labeller twice), then parsed, resolved over attempts and written back.  Each
 micro-batch overwrites only its own partition (run id and epoch) and skips only rows that
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelops.operators import batches as B
-from labelops.session import ship_package
+from labelops.session import scratch_dir, ship_package
 
 Labeller = Callable[[str, list[str], int, int], str]
 
@@ -89,32 +89,34 @@ def label_once(todo: DataFrame, labeller: Labeller, labels: Sequence[str], noun:
                max_attempts: int = B.MAX_ATTEMPTS, extract: bool = False) -> DataFrame:
     """Label one set of rows: ``row_id, predicted`` for rows that got a valid label.
 
-    ``work_dir`` is the journal: the numbered rows, the prompts and the responses of each attempt are
-    tables that a replay finds and uses again. A mark is set before an attempt asks. A replay that
-    finds the mark without committed responses cannot know who was asked: that attempt has failed
-    and the next one asks, so no row is asked twice in one attempt.
+    ``work_dir`` is the journal: the numbered batches, the responses of each attempt and the batches
+    that each leaves open are tables that a replay finds and uses again. Texts are shuffled into batches
+    once; a later attempt reads the batches still open from that table. A mark is set before an attempt
+    asks. A replay that finds the mark without committed responses cannot know who was asked: that
+    attempt has failed and the next one asks, so no row is asked twice in one attempt.
     """
     spark = todo.sparkSession
-    numbered = _once(spark, f"{work_dir}/rows", lambda: B.batch_numbers(todo.select(row_id, text), row_id, batch_size)
-                     .withColumn("predicted", F.lit(None).cast("string")))
-    prompts = B.prompts(numbered, labels, noun, text=text).join(
-        numbered.groupBy("batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text))),
-                                                     lambda x: x[text]).alias("texts")), "batch_no")
-    answered = None
+    batches = _once(spark, f"{work_dir}/batches", lambda: B.batch_texts(
+        B.batch_numbers(todo.select(F.col(row_id).alias("id"), F.col(text).alias("text")), "id", batch_size), "id"))
+    left, answered = batches.select("batch_no"), False
     for attempt in range(1, max_attempts + 1):
         path = f"{work_dir}/responses/attempt={attempt}"
         if not _table_exists(spark, f"{path}/_SUCCESS"):
             if not _marker(spark, f"{work_dir}/asked/attempt={attempt}"):
                 continue  # asked, and the answers are lost
-            pending = prompts if answered is None else prompts.join(answered, "batch_no", "left_anti")
-            pending = _once(spark, f"{work_dir}/prompts/attempt={attempt}", lambda: pending)
-            call_labeller(pending, labeller, attempt).write.mode("overwrite").parquet(path)
-        got = spark.read.parquet(path).withColumn("attempt", F.lit(attempt))
+            pending = batches if not answered else _once(
+                spark, f"{work_dir}/pending/attempt={attempt}", lambda: batches.join(left, "batch_no", "left_semi"))
+            pending = B.with_prompts(pending, labels, noun).withColumn("texts", F.col("items.text"))
+            call_labeller(pending.select("batch_no", "prompt", "texts"), labeller, attempt).write.mode("overwrite").parquet(path)
+        got, answered = spark.read.parquet(path), True
         ok = got.withColumn("_p", B.parse_body(F.col("body"), labels, extract)).filter("_p.usable").select("batch_no")
-        answered = ok if answered is None else answered.unionByName(ok)
-        if prompts.select("batch_no").join(answered, "batch_no", "left_anti").isEmpty():
+        # ids alone, written: few enough to broadcast, they pick the next attempt's batches without a shuffle of texts
+        left = _once(spark, f"{work_dir}/open/attempt={attempt}", lambda: left.join(ok, "batch_no", "left_anti"))
+        if left.isEmpty():
             break
-    if answered is None:
+    numbered = (batches.select("batch_no", F.explode("items").alias("x"))
+                .select(F.col("x.id").alias(row_id), "batch_no", "x.pos", F.lit(None).cast("string").alias("predicted")))
+    if not answered:
         return numbered.select(row_id, "predicted").limit(0)
     responses = spark.read.parquet(f"{work_dir}/responses")
     resolved = B.resolve_attempts(responses, labels, extract, max_attempts)
@@ -139,14 +141,18 @@ def _run_id(spark: SparkSession, checkpoint: str) -> str:
 def _unlabelled(rows: DataFrame, output_path: str, row_id: str, own: str) -> DataFrame:
     """Rows that no *other* partition of the output has labelled. A replayed epoch thus works on all its
     rows again and may overwrite its own partition without losing any. The output is read only where
-    its row ids lie between this batch's smallest and largest (files and row groups outside are skipped)."""
+    its row ids lie between this batch's smallest and largest (files and row groups outside are skipped).
+    The ids left are written first: where they are few they are broadcast, and no text is shuffled."""
     spark = rows.sparkSession
     if not _table_exists(spark, output_path):
         return rows
     low, high = rows.agg(F.min(row_id), F.max(row_id)).first()
     done = (spark.read.parquet(output_path).filter(F.col("part").cast("string") != own)
             .filter(F.col(row_id).between(F.lit(low), F.lit(high))).select(row_id))
-    return rows.join(done, row_id, "left_anti")
+    path = scratch_dir(spark, "unlabelled")
+    rows.select(row_id).join(done, row_id, "left_anti").write.parquet(path)
+    left = spark.read.parquet(path).select(F.col(row_id).alias("_left"))
+    return rows.join(left, F.col(row_id).eqNullSafe(F.col("_left")), "left_semi")
 
 
 def _write(out: DataFrame, output_path: str, own: str) -> None:

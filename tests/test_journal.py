@@ -74,3 +74,27 @@ def test_only_rows_without_a_label_are_left(spark, tmp_path, low, high, left):
     batch = rows(spark).filter(f"row_id >= {low} AND row_id < {high}")
     assert R._unlabelled(batch, out, "row_id", "own").count() == left
     assert R._unlabelled(batch, out, "row_id", "other").count() == high - low
+
+
+def test_texts_are_grouped_once(spark, tmp_path, monkeypatch):
+    """Later attempts read their batches from the journal instead of numbering and grouping all texts again."""
+    log, work, plans, once = str(tmp_path / "log"), str(tmp_path / "work"), [], R._once
+
+    def spy(session, path, make):
+        def made():
+            df = make()
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return df
+        return once(session, path, made)
+
+    monkeypatch.setattr(R, "_once", spy)
+    got = R.label_once(rows(spark), counting(log, lambda b, a: b == 2 and a < 4), LABELS, "tag", work, batch_size=10)
+    assert got.count() == 45 and sum("collect_list" in p for p in plans) == 1
+    assert sum(calls(log).values()) == 45 + 3 * 10
+
+
+def test_rows_without_an_id_stay_unlabelled(spark, tmp_path):
+    out = str(tmp_path / "out")
+    R._write(spark.range(5).selectExpr("id AS row_id", "'a' AS predicted"), out, "other")
+    some = spark.createDataFrame([(None, "x"), (3, "y"), (4, "z"), (9, "w"), (9, "v")], "row_id long, text string")
+    assert sorted(r.text for r in R._unlabelled(some, out, "row_id", "own").collect()) == ["v", "w", "x"]
